@@ -41,4 +41,15 @@ SELECT p.page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS ve
 FROM parsed p LEFT JOIN fitting f ON p.page_id = f.page_id AND f.no = 1
 """
 
-SQL: dict[str, str] = {"op8_mixing": _OP8, "op10_url_filters": _OP10}
+_OP1 = r"""
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+spelt AS (
+  SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(h, ((i * 5) // 8 * 2 + 1)::INT, 4))::BIGINT >> (11 - (i * 5) % 8)) & 31)::INT), 1)), '') AS digest FROM hashed),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM spelt)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM grouped
+"""
+
+SQL: dict[str, str] = {"op1_warc": _OP1, "op8_mixing": _OP8, "op10_url_filters": _OP10}
