@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, toxicity, url_filters, warc
+from . import covertree, minhash, mixing, quality, toxicity, url_filters, warc
 from .shared import table
 
 RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
@@ -16,6 +17,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_pairs(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), 10, 1024.0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
@@ -38,6 +48,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_covertree": op3_covertree,
+    "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,

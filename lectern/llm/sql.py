@@ -52,4 +52,27 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM grouped
 """
 
-SQL: dict[str, str] = {"op1_warc": _OP1, "op8_mixing": _OP8, "op10_url_filters": _OP10}
+# All pairs, which SQL can afford at the small scales that it is run at.
+_OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT m.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(m.vec_id, coalesce(low, m.vec_id)) AS component_id, m.vec_id = least(m.vec_id, coalesce(low, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN counted c ON c.a = m.vec_id LEFT JOIN lowest l ON l.a = m.vec_id
+"""
+
+_OP4 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op1_warc": _OP1, "op3_covertree": _OP3, "op4_top_k": _OP4, "op8_mixing": _OP8, "op10_url_filters": _OP10}
