@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, minhash, mixing, quality, toxicity, url_filters, warc
+from . import covertree, minhash, mixing, packing, quality, toxicity, url_filters, warc
 from .shared import table
 
 RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
@@ -30,6 +30,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_covertree": op3_covertree,
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
