@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, minhash, mixing, packing, quality, toxicity, url_filters, warc
+from . import covertree, minhash, mixing, packing, quality, suffix_dedup, toxicity, url_filters, warc
 from .shared import table
 
 RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_pairs(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -58,6 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_suffix_array": op2_suffix_array,
     "op3_covertree": op3_covertree,
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
