@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import sql
 from .queries import QUERIES as _OPERATORS
 
-QUERIES = dict(_OPERATORS)
+QUERIES = {**_OPERATORS, "pipeline": corpus_pipeline.run}
 SQL = dict(sql.SQL)
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
