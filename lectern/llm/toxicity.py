@@ -33,7 +33,7 @@ from .labelled import held_out, sample
 from .shared import _LOWER_BYTE, Rolling, list_array, mix, slices, utf8
 
 #: Labelled rows that the field is fitted on: of label 0 and of label 1 at most.
-SAMPLE = {0: 2000, 1: 1000}
+SAMPLE = {0: 1500, 1: 750}
 THRESHOLD = 0.3
 SPAN = 0.5
 PREFIXES = (4, 5, 6)
@@ -141,51 +141,54 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     label = np.array([x[1] for x in rows], bool)
     if not label.any() or label.all():
         return none
-    seqs, owner = [], []
-    for r, (text, _) in enumerate(rows):
-        data = np.frombuffer(text.encode(), np.uint8)
-        start, end, _ = tokens(data, np.array([0, len(data)]))
-        seqs.append(features(data, start, end))
-        owner.append(np.full(len(start), r))
-    found, owner = np.concatenate(seqs), np.concatenate(owner)
-    if not len(found):
-        return none
-    # Documents that have each feature, toxic and clean.
-    wide = found.shape[1]
-    flat, rep = found.reshape(-1), np.repeat(owner, wide)
-    kept = flat != 0
-    names, inverse = np.unique(flat[kept], return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(rows) + rep[kept])
-    toxic = label[pairs % len(rows)]
-    a, b = np.bincount(pairs[toxic] // len(rows), minlength=len(names)), np.bincount(pairs[~toxic] // len(rows), minlength=len(names))
+    counts = np.zeros(len(rows), np.int64)
+    seen: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for r, (text, toxic) in enumerate(rows):
+        found = _features_of(text)
+        counts[r] = len(found)
+        seen[toxic].append(np.unique(found[found != 0]))
+    # Documents that have each feature, toxic (a) and clean (b).
+    names, a = np.unique(np.concatenate(seen[1]), return_counts=True)
+    others, of_others = np.unique(np.concatenate(seen[0]), return_counts=True)
+    del seen
+    b = np.zeros(len(names), np.int64)
+    both, at, there = np.intersect1d(names, others, assume_unique=True, return_indices=True)
+    b[at] = of_others[there]
+    del others, of_others, both
     odds = np.log((a + 0.5) / (label.sum() + 1)) - np.log((b + 0.5) / ((~label).sum() + 1))
-    chosen = (a >= LEAST) & (odds - np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= BOUND)
-    if not chosen.any():
+    hashes = names[(a >= LEAST) & (odds - np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= BOUND)]
+    if not len(hashes):
         return none
-    hashes = names[chosen]
-    place = np.full(len(names), -1, np.int64)
-    place[chosen] = np.arange(len(hashes))
-    of = np.full(len(flat), -1, np.int64)
-    of[kept] = place[inverse]
-    of = of.reshape(-1, wide)
-    tag = (of >= 0).any(1) & label[owner]
-    return _fitted(hashes, of, tag, owner)
-
-
-def _fitted(hashes: np.ndarray, of: np.ndarray, tag: np.ndarray, owner: np.ndarray) -> Field:
-    """Gradient ascent on segments of tokens, padded to one length."""
-    n = len(owner)
-    first = np.searchsorted(owner, owner)
-    inside = np.arange(n) - first
-    key = np.concatenate([[True], (owner[1:] != owner[:-1]) | (inside[1:] % _SEGMENT == 0)])
-    segment, column = np.cumsum(key) - 1, inside % _SEGMENT
-    many = segment[-1] + 1
+    token, feature = [], []
+    for before, (text, _) in zip(np.cumsum(counts) - counts, rows):
+        found = _features_of(text)
+        place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        i, k = np.nonzero(hashes[place] == found)
+        token.append(i + before)
+        feature.append(place[i, k])
+    return _fitted(hashes, np.concatenate(token), np.concatenate(feature), np.repeat(label, counts), counts)
+
+
+def _features_of(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, _ = tokens(data, np.array([0, len(data)]))
+    return features(data, start, end)
+
+
+def _fitted(hashes: np.ndarray, token: np.ndarray, feature: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> Field:
+    """Gradient ascent on segments of tokens, padded to one length. token and feature: which token has which; toxic: of each token's document; counts: tokens of each document."""
+    n = len(toxic)
+    tag = np.zeros(n, bool)
+    tag[token] = True
+    tag &= toxic
+    column = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    segment = np.cumsum(column % _SEGMENT == 0) - 1
+    column %= _SEGMENT
+    many = int(segment[-1]) + 1
     real = np.zeros((_SEGMENT, many), bool)
     real[column, segment] = True
     truth = np.zeros((_SEGMENT, many), bool)
     truth[column, segment] = tag
-    token, kind = np.nonzero(of >= 0)
-    feature = of[token, kind]
     size = len(hashes)
     theta = np.zeros(size + 5)
     theta[size] = -4.0
@@ -197,11 +200,11 @@ def _fitted(hashes: np.ndarray, of: np.ndarray, tag: np.ndarray, owner: np.ndarr
     pairs = truth[:-1] * 2 + truth[1:]
     observed[size + 1 :] = np.bincount(pairs[both], minlength=4)
     for t in range(1, _STEPS + 1):
-        emission = np.zeros((_SEGMENT, many))
+        emission = np.zeros((_SEGMENT, many), np.float32)
         per_token = np.bincount(token, weights=theta[feature], minlength=n) + theta[size]
         emission[column, segment] = per_token
-        boost, trans = np.exp(np.clip(emission, -30, 30)), np.exp(theta[size + 1 :].reshape(2, 2))
-        ahead, behind = np.empty((_SEGMENT, 2, many)), np.empty((_SEGMENT, 2, many))
+        boost, trans = np.exp(np.clip(emission, -30, 30)), np.exp(theta[size + 1 :].reshape(2, 2)).astype(np.float32)
+        ahead, behind = np.empty((_SEGMENT, 2, many), np.float32), np.empty((_SEGMENT, 2, many), np.float32)
         ahead[0, 0], ahead[0, 1] = 1, boost[0]
         ahead[0] /= ahead[0].sum(0)
         for s in range(1, _SEGMENT):
