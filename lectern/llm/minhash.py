@@ -7,9 +7,10 @@ band meet in a bucket, and the Jaccard similarity of their full sets decides on
 
 No bucket is expanded into pairs, and no link between different sets that meet in a bucket is lost:
 1. documents with equal sets are one class, which its smallest id stands for;
-2. each member of a bucket is held against the bucket's smallest id; links found join components;
+2. each member of a bucket is held against the bucket's pivot; links found join components;
 3. where members of a bucket are still in different components, those outside the bucket's largest component are
-   queries against all its members outside their own component.
+   queries against all its members outside their own component; in large buckets in blocks, which give back no more
+   links than connect what they hold.
 Pairs within a component need no test, as they cannot change it.
 
 With `BANDS` bands of `ROWS` coordinates, a pair at the threshold of 0.85 misses all buckets with probability
@@ -17,7 +18,7 @@ With `BANDS` bands of `ROWS` coordinates, a pair at the threshold of 0.85 misses
 
 Scale: texts are read once for signatures, and those of documents in a bucket of two or more once more for their sets.
 Shuffles carry ids, 64-bit digests and band keys, summed up by key before the shuffle; joins of a bucket's members with
-its smallest id can be split where one bucket is very large.
+its pivot can be split where one bucket is very large, and the blocks of a large bucket are tasks of their own.
 
 Cases: null, empty or blank texts have an empty set and link with nothing. A row with a null id takes part in nothing
 and is kept. Rows that repeat an id are one vertex; if
@@ -34,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import list_array, mix, signed, slices, stored, utf8, word_hashes, words
+from .covertree import stars
+from .shared import list_array, mix, shuffle_partitions, signed, slices, stored, utf8, word_hashes, words
 
 WORDS = 5
 BANDS, ROWS = 20, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Queries times members up to which a bucket's tests are rows of their own; beyond, they are made in blocks of GRID by GRID.
+SMALL, GRID = 1024, 1024
 
 _C = mix(np.arange(1001, 1001 + 16, dtype=np.uint64))
 _STEP = int(mix(np.array([5], np.uint64))[0]) | 1
@@ -144,27 +148,94 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     taking_part = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(taking_part.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     met = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    pivots = met.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").drop("n")
-    members = stored(met.join(pivots, "key").select("key", "rep", "pivot", "n_shingles"))
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(met.join(sizes, "key").select("key", "rep", "n"))
+    # A bucket's pivot is its member that meets most others over all buckets: near the middle of a group of copies.
+    meets = shared.groupBy("rep").agg(F.sum("n").alias("meets"))
+    pivots = shared.select("key", "rep").join(meets, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("pivot"))
+    members = stored(shared.join(pivots, "key").select("key", "rep", "pivot"))
+    star = members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(texts.join(stored(needed), "doc_id", "left_semi").mapInArrow(_sets, "id long, d1 long, set array<long>").groupBy("id").agg(F.min_by("set", "d1").alias("set")))
     tested = stored(_tested(star, sets, percent))
     found = components(tested.where("linked").select("a", "b"))
     placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    of_bucket = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-    split = stored(placed.join(of_bucket.where("parts > 1").select("key", F.col("most.component").alias("main")), "key"))
-    asking = split.where("component <> main").select("key", F.col("rep").alias("q"), F.col("component").alias("of"))
-    rest = asking.join(split, "key").where("of <> component").select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct()
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    open_ = parts.where("parts > 1").select("key", F.col("most.component").alias("main"), "size", (F.col("size") - F.col("most.n")).alias("asking"))
+    split = stored(placed.join(open_, "key").withColumn("asks", F.col("component") != F.col("main")))
+    small = F.col("asking") * F.col("size") <= SMALL
+    few = split.where(small)
+    asked = few.where("asks").select("key", F.col("rep").alias("q"), F.col("component").alias("of"))
+    rest = asked.join(few, "key").where("of <> component").select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = _tested(rest, sets, percent).where("linked").select("a", "b")
-    whole = components(tested.where("linked").select("a", "b").union(more))
+    whole = components(tested.where("linked").select("a", "b").union(more).union(_gridded(split.where(~small), sets, percent)))
     back = rows.drop("bands").join(classes.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"], "left")
     joined = back.join(whole, F.col("rep") == F.col("id"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _gridded(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the large buckets' queries link with: a grid of blocks of queries by blocks of members."""
+    across, down = F.ceil(F.col("size") / GRID).cast("int"), F.ceil(F.col("asking") / GRID).cast("int")
+    spread = F.xxhash64("rep", "key")
+    column, line = F.pmod(spread, across).cast("int"), F.pmod(spread, down).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    held = split.select("key", "rep", "component", F.lit(False).alias("asks"), column.alias("x"), F.explode(upto(down)).alias("y"))
+    asking = split.where("asks").select("key", "rep", "component", "asks", F.explode(upto(across)).alias("x"), line.alias("y"))
+    cells = held.union(asking).join(sets, F.col("rep") == F.col("id")).select("key", "x", "y", "asks", "rep", "component", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for batch in batches:
+            start = 0
+            cell = [batch.column(k).to_numpy() for k in range(3)]
+            turns = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cell])) + 1
+            if pending and any(pending[-1].column(k)[-1] != batch.column(k)[0] for k in range(3)):
+                yield _cell(pending, percent)
+                pending = []
+            for end in [*turns.tolist(), batch.num_rows]:
+                pending.append(batch.slice(start, end - start))
+                if end < batch.num_rows:
+                    yield _cell(pending, percent)
+                    pending = []
+                start = end
+        if pending:
+            yield _cell(pending, percent)
+
+    many = shuffle_partitions(split.sparkSession)
+    return cells.repartition(many, "key", "x", "y").sortWithinPartitions("key", "x", "y", "asks").mapInArrow(run, "a long, b long")
+
+
+def _cell(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """Holds a cell's queries against its members by their shingles' postings."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    asks, rep, component = (table.column(k).to_numpy() for k in (3, 4, 5))
+    lists = table.column(6).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    values, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    sizes = np.diff(bounds)
+    of = np.repeat(np.arange(len(rep)), sizes)
+    held = ~asks[of]
+    order = np.argsort(values[held], kind="stable")
+    posted, member = values[held][order], of[held][order]
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for q in np.flatnonzero(asks):
+        own = values[bounds[q] : bounds[q + 1]]
+        low, high = np.searchsorted(posted, own, "left"), np.searchsorted(posted, own, "right")
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(member[at], minlength=len(rep))
+        hit = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[q] + sizes - both)) & (component != component[q]))
+        ends.append((np.full(len(hit), q), hit))
+    if not ends:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+    edges = stars(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]), len(rep))
+    return pa.RecordBatch.from_arrays([pa.array(rep[edges[:, 0]]), pa.array(rep[edges[:, 1]])], ["a", "b"])
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b and whether their sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
