@@ -13,7 +13,8 @@ then all pairs of blocks meet, in matrix products; that is what an exact answer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,51 +28,70 @@ from .shared import stored
 BLOCK = 4096
 PIVOTS = 1024
 _EPS = 1e-9
+#: Rows of a product at once.
+_ROWS = 1024
 
 
 class Tree:
-    """Nodes in arrays: point, covering radius, first child and the one after the last, members (places in x)."""
+    """Nodes in arrays: point, covering radius, first child and the one after the last, and where its points are in `order`."""
 
-    def __init__(self, x: np.ndarray, leaf: int = 1):
+    def __init__(self, x: np.ndarray, parts: tuple[np.ndarray, ...]):
         self.x = x
+        self.point, self.radius, self.first, self.last, self.low, self.high, self.order = parts
+        self.size = self.high - self.low
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.point, self.radius, self.first, self.last, self.low, self.high, self.order), protocol=5)
+
+    @classmethod
+    def load(cls, x: np.ndarray, data: bytes) -> Tree:
+        return cls(x, pickle.loads(data))
+
+    @classmethod
+    def build(cls, x: np.ndarray, leaf: int = 1) -> Tree:
+        """x has one row at least."""
         square = (x * x).sum(1)
+        gram = x @ x.T if len(x) <= BLOCK else None
         n = len(x)
         point, first, last = [0], [0], [0]
         members = [np.arange(n)]
-        radii = [float(np.sqrt(max(0.0, (square + square[0] - 2 * x @ x[0]).max())))] if n else [0.0]
-        pending = [0] if n else []
-        count = 1
-        while pending:
-            node = pending.pop(0)
-            own, centre, radius = members[node], point[node], radii[node]
-            if len(own) <= leaf or radius <= _EPS:
-                continue
-            half = radius / 2
-            rest, first[node] = own, count
-            gram = x[own] @ x[own].T if len(own) <= BLOCK else None
-            where = np.arange(len(own))
-            nxt = int(np.flatnonzero(own == centre)[0])
-            while len(rest):
-                c = own[nxt]
-                products = gram[nxt, where] if gram is not None else x[rest] @ x[c]
-                distance = np.sqrt(np.maximum(0.0, square[rest] + square[c] - 2 * products))
-                near = distance <= half
-                near[where == nxt] = True
-                group = rest[near]
-                members.append(group)
-                point.append(int(c))
-                radii.append(float(distance[near].max()))
-                first.append(0)
-                last.append(0)
-                if len(group) > leaf:
-                    pending.append(count)
-                count += 1
-                rest, where = rest[~near], where[~near]
-                nxt = int(where[0]) if len(where) else 0
-            last[node] = count
-        self.point, self.radius = np.array(point), np.array(radii)
-        self.first, self.last, self.members = np.array(first), np.array(last), members
-        self.size = np.array([len(m) for m in members])
+        radii = [float(np.sqrt(max(0.0, (square + square[0] - 2 * x @ x[0]).max())))]
+        node, count = 0, 1
+        while node < count:
+            own, radius = members[node], radii[node]
+            if len(own) > leaf and radius > _EPS:
+                half, rest, c = radius / 2, own, point[node]
+                first[node] = count
+                while len(rest):
+                    products = gram[c, rest] if gram is not None else x[rest] @ x[c]
+                    distance = np.sqrt(np.maximum(0.0, square[rest] + square[c] - 2 * products))
+                    near = distance <= half
+                    near[rest == c] = True
+                    members.append(rest[near])
+                    point.append(int(c))
+                    radii.append(float(distance[near].max()))
+                    first.append(0)
+                    last.append(0)
+                    count += 1
+                    rest = rest[~near]
+                    c = rest[0] if len(rest) else 0
+                last[node] = count
+            node += 1
+        low, high = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        high[0] = n
+        order = np.arange(n)
+        for node in range(count):  # parents come before their children
+            if last[node]:
+                at = low[node]
+                for child in range(first[node], last[node]):
+                    low[child], high[child] = at, at + len(members[child])
+                    at = high[child]
+            else:
+                order[low[node] : high[node]] = members[node]
+        return cls(x, (np.array(point), np.array(radii), np.array(first), np.array(last), low, high, order))
+
+    def members(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.high[node]]
 
     def children(self, node: int) -> np.ndarray:
         return np.arange(self.first[node], self.last[node])
@@ -109,25 +129,31 @@ def linked(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.
         if apart > limit + reach + _EPS:
             continue
         if apart + reach < limit - _EPS:
-            whole(a.members[i], b.members[j])
+            whole(a.members(i), b.members(j))
             continue
         if a.is_leaf(i) and b.is_leaf(j):
-            exact(a.members[i], b.members[j])
+            exact(a.members(i), b.members(j))
             continue
         left = np.array([i]) if a.is_leaf(i) else a.children(i)
         right = np.array([j]) if b.is_leaf(j) else b.children(j)
-        products = a.x[a.point[left]] @ b.x[b.point[right]].T
-        distance = np.sqrt(np.maximum(0.0, 2 - 2 * products))
-        near = distance <= limit + a.radius[left][:, None] + b.radius[right][None, :] + _EPS
-        single = (a.size[left] == 1)[:, None] & (b.size[right] == 1)[None, :]
-        found = near & single & (products >= cosine)
-        p, q = np.nonzero(found)
-        if len(p):
-            np.add.at(count_a, a.point[left[p]], 1)
-            np.add.at(count_b, b.point[right[q]], 1)
-            ends.append((a.point[left[p]], b.point[right[q]]))
-        for p, q in zip(*np.nonzero(near & ~single)):
-            pending.append((int(left[p]), int(right[q])))
+        # What even the largest radii rule out is dropped from the products; each pair's own bound decides on the rest.
+        least = 1 - min(2.0, limit + float(a.radius[left].max() + b.radius[right].max()) + _EPS) ** 2 / 2 - 1e-12
+        for rows in range(0, len(left), _ROWS):
+            part = left[rows : rows + _ROWS]
+            products = a.x[a.point[part]] @ b.x[b.point[right]].T
+            p, q = np.nonzero(products >= least)
+            product = products[p, q]
+            p, q = part[p], right[q]
+            near = np.sqrt(np.maximum(0.0, 2 - 2 * product)) <= limit + a.radius[p] + b.radius[q] + _EPS
+            p, q, product = p[near], q[near], product[near]
+            single = (a.size[p] == 1) & (b.size[q] == 1)
+            hit = single & (product >= cosine)
+            if hit.any():
+                u, v = a.point[p[hit]], b.point[q[hit]]
+                np.add.at(count_a, u, 1)
+                np.add.at(count_b, v, 1)
+                ends.append((u, v))
+            pending.extend(zip(p[~single].tolist(), q[~single].tolist()))
     if not ends:
         return count_a, count_b, np.zeros((0, 2), np.int64)
     u, v = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]) + na
@@ -181,11 +207,11 @@ def best(queries: Tree, query_ids: np.ndarray, data: Tree, ids: np.ndarray, k: i
         i, j = pending.pop()
         qp, dp = queries.point[i], data.point[j]
         most = queries.x[qp] @ data.x[dp] + q_norm[qp] * data.radius[j] + d_norm[dp] * queries.radius[i] + queries.radius[i] * data.radius[j]
-        if most * (1 + 1e-12) + 1e-6 < worst[queries.members[i]].min():
+        if most * (1 + 1e-12) + 1e-6 < worst[queries.members(i)].min():
             continue
         if data.is_leaf(j):
             if queries.is_leaf(i):
-                take(queries.members[i], data.members[j])
+                take(queries.members(i), data.members(j))
             else:
                 pending.extend((int(c), j) for c in queries.children(i))
             continue
@@ -193,7 +219,7 @@ def best(queries: Tree, query_ids: np.ndarray, data: Tree, ids: np.ndarray, k: i
         single = data.size[below] == 1
         # Single points are scored at once for all the group's queries; then what they found prunes the other children.
         if single.any():
-            take(queries.members[i], data.point[below[single]])
+            take(queries.members(i), data.point[below[single]])
         inner = below[~single]
         if len(inner):
             near = queries.x[qp] @ data.x[data.point[inner]].T + q_norm[qp] * data.radius[inner]
@@ -204,8 +230,8 @@ def best(queries: Tree, query_ids: np.ndarray, data: Tree, ids: np.ndarray, k: i
 # --- blocks ----------------------------------------------------------------------------------------------------------
 
 
-def blocks(rows: DataFrame, *, keep_zero: bool, unit: bool) -> DataFrame:
-    """rows (vec_id, embedding) packed into blocks (a written table). Vectors that take no part are left out; unit: centres and radii are of directions."""
+def blocks(rows: DataFrame, *, keep_zero: bool, prepare: Callable[[np.ndarray], np.ndarray], leaf: int) -> DataFrame:
+    """rows (vec_id, embedding) packed into blocks (a written table) of prepared vectors, each with its tree. Vectors that take no part are left out."""
     spark = rows.sparkSession
     valid = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if not keep_zero:
@@ -240,17 +266,28 @@ def blocks(rows: DataFrame, *, keep_zero: bool, unit: bool) -> DataFrame:
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
         x = np.stack(frame["embedding"].to_numpy())
-        seen = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
-        centre = seen[0]
-        radius = float(np.sqrt(((seen - centre) ** 2).sum(1)).max())
-        return pd.DataFrame([(len(x), key[1], frame["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), centre, radius)], columns=["n", "dims", "ids", "vectors", "centre", "radius"])
+        x = prepare(x)
+        tree = Tree.build(x, leaf)
+        return pd.DataFrame([(len(x), key[1], frame["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), tree.dump(), x[tree.point[0]], float(tree.radius[0]))], columns=["n", "dims", "ids", "vectors", "tree", "centre", "radius"])
 
-    packed = split.groupBy("cell", "dims", "part").applyInPandas(pack, "n int, dims int, ids binary, vectors binary, centre array<double>, radius double")
+    packed = split.groupBy("cell", "dims", "part").applyInPandas(pack, "n int, dims int, ids binary, vectors binary, tree binary, centre array<double>, radius double")
     return stored(packed.withColumn("block", F.xxhash64("ids", "vectors")))
 
 
-def _unpacked(ids: bytes, raw: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, dims)
+def _unpacked(ids: bytes, raw: bytes, tree: bytes, dims: int) -> tuple[np.ndarray, Tree]:
+    return np.frombuffer(ids, np.int64), Tree.load(np.frombuffer(raw, np.float64).reshape(-1, dims), tree)
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sides(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    body = ("ids", "vectors", "tree")
+    return one.select(F.col("block").alias("i"), "dims", *(F.col(c).alias(f"{c}_i") for c in body)), two.select(F.col("block").alias("j"), *(F.col(c).alias(f"{c}_j") for c in body))
+
+
+_PAIR = ["i", "j", "dims", "ids_i", "vectors_i", "tree_i", "ids_j", "vectors_j", "tree_j"]
 
 
 def _met(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -267,27 +304,24 @@ def near_pairs(rows: DataFrame, cosine: float) -> DataFrame:
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those of other
     lengths or with a null id. Rows that repeat an id are vectors of their own that share its component; each counts.
     """
-    packed = blocks(rows, keep_zero=False, unit=True)
+    packed = blocks(rows, keep_zero=False, prepare=directions, leaf=1)
     apart = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     met = _met(packed, packed).where("i <= j").where(apart <= float(np.sqrt(2 - 2 * cosine)) + F.col("ri") + F.col("rj") + 1e-6).select("i", "j")
-    bodies = packed.select("block", "dims", "ids", "vectors")
-    left = bodies.select(F.col("block").alias("i"), "dims", F.col("ids").alias("ids_i"), F.col("vectors").alias("vectors_i"))
-    right = bodies.select(F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("vectors").alias("vectors_j"))
-    pairs = met.join(left, "i").join(right, "j").select("i", "j", "dims", "ids_i", "vectors_i", "ids_j", "vectors_j")
+    left, right = _sides(packed, packed)
+    pairs = met.join(left, "i").join(right, "j").select(*_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, dims, ids_i, raw_i, ids_j, raw_j in zip(*(c for c in batch.columns)):
-                na, xa = _unpacked(ids_i.as_py(), raw_i.as_py(), dims.as_py())
-                a = Tree(xa / np.linalg.norm(xa, axis=1, keepdims=True))
+            for i, j, dims, *bodies in zip(*batch.columns):
+                values = [x.as_py() for x in bodies]
+                na, a = _unpacked(*values[:3], dims.as_py())
                 if i.as_py() == j.as_py():
-                    names, b = na, a
+                    names = na
                     count, _, edges = linked(a, a, cosine)
                     count = count - 1  # itself
                     edges = edges % len(na)
                 else:
-                    nb, xb = _unpacked(ids_j.as_py(), raw_j.as_py(), dims.as_py())
-                    b = Tree(xb / np.linalg.norm(xb, axis=1, keepdims=True))
+                    nb, b = _unpacked(*values[3:], dims.as_py())
                     ca, cb, edges = linked(a, b, cosine)
                     names, count = np.concatenate([na, nb]), np.concatenate([ca, cb])
                 own = np.flatnonzero(count > 0)
@@ -311,20 +345,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFram
     Vectors that are null, empty, or hold null or non-finite components take no part; zero vectors do. A query is held
     against rows of its own length, without its own id. Queries and rows are blocks alike.
     """
-    data, asked = blocks(rows, keep_zero=True, unit=False), blocks(queries, keep_zero=True, unit=False)
-    left = asked.select(F.col("block").alias("i"), "dims", F.col("ids").alias("ids_i"), F.col("vectors").alias("vectors_i"))
-    right = data.select(F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("vectors").alias("vectors_j"))
-    pairs = _met(asked, data).select("i", "j").join(left, "i").join(right, "j")
+    whole = lambda x: np.floor(scale * x)
+    data, asked = blocks(rows, keep_zero=True, prepare=whole, leaf=8), blocks(queries, keep_zero=True, prepare=whole, leaf=8)
+    left, right = _sides(asked, data)
+    pairs = _met(asked, data).select("i", "j").join(left, "i").join(right, "j").select(*_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, ids_i, raw_i, ids_j, raw_j in zip(*(c for c in batch.columns)):
-                nq, xq = _unpacked(ids_i.as_py(), raw_i.as_py(), dims.as_py())
-                nd, xd = _unpacked(ids_j.as_py(), raw_j.as_py(), dims.as_py())
-                found = best(Tree(np.floor(scale * xq), leaf=8), nq, Tree(np.floor(scale * xd), leaf=8), nd, k)
+            for _, _, dims, *bodies in zip(*batch.columns):
+                values = [x.as_py() for x in bodies]
+                (nq, asked_), (nd, held) = _unpacked(*values[:3], dims.as_py()), _unpacked(*values[3:], dims.as_py())
+                found = best(asked_, nq, held, nd, k)
                 names = np.repeat(nq, [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
 
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = pairs.select("dims", "ids_i", "vectors_i", "ids_j", "vectors_j").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
