@@ -67,7 +67,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         here[:full] = row[:full] == row[WORDS - 1 :]
     for r in np.flatnonzero((count > 0) & (count < WORDS)):
         s, c = first[r], count[r]
-        value[s] = (w[s : s + c] * _C[:c]).sum() + _C[8 + c]
+        value[s] = (w[s : s + c] * _C[:c]).sum() ^ _C[8 + c]
         here[s] = True
     value, row = mix(value[here]), row[here]
     bound = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
