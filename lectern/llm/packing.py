@@ -53,23 +53,30 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for text that is split and lower-cased already; the last id of a pre-token is one that ends a word.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.table: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        """Pre-tokens, one after the other in a text of their own, whose ids the encoding tells apart."""
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids, word = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids, np.int64)
-        bounds = np.searchsorted(word, np.arange(len(parts) + 1))
-        if len(word) and word[-1] != len(parts) - 1:
+        """Pre-tokens, one after the other in a text of their own."""
+        ids = np.asarray(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        bounds = np.flatnonzero(self.ends[ids]) + 1
+        if len(bounds) != len(parts):
             raise ValueError("pre-tokens and the tokenizer's own differ")
-        whole, bounds = ids.tobytes(), (bounds * 4).tolist()
-        self.table.update((p, whole[bounds[k] : bounds[k + 1]]) for k, p in enumerate(parts))
+        whole, start = ids.tobytes(), 0
+        for part, end in zip(parts, (bounds * 4).tolist()):
+            self.table[part] = whole[start:end]
+            start = end
 
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text) or "<|" in text:
@@ -168,7 +175,7 @@ def search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]
 
 
 def _step(v: int, bins: list[list[int]], fill: list[int], sizes: list[int], room: int, opened: list[int]) -> bool:
-    """One move or exchange out of bin v, the first kind that any piece allows: a move, one for one, one for two, two for one."""
+    """One move or exchange out of bin v, of the first kind that any piece allows: a move; one for one; one for two or two for one."""
     others = [b for b in opened if b != v and bins[b] and fill[b] >= fill[v]]
     for x in sorted(bins[v], key=lambda i: -sizes[i]):
         fitting = [b for b in others if room - fill[b] >= sizes[x]]
@@ -187,16 +194,18 @@ def _step(v: int, bins: list[list[int]], fill: list[int], sizes: list[int], room
         if 0 < gain <= room - fill[b] and (best is None or gain > best[0]):
             best = (gain, b, give, get)
 
-    for b in others:
-        own = sorted(bins[b], key=lambda i: sizes[i])
-        lengths = [sizes[i] for i in own]
-        free = room - fill[b]
-        gives = [(x,) for x in bins[v]] + [(x, y) for k, x in enumerate(bins[v][:24]) for y in bins[v][k + 1 : 24]]
-        for give in gives:
-            total = sum(sizes[i] for i in give)
-            at = bisect_left(lengths, total - free)
+    held = [(b, own := sorted(bins[b], key=lambda i: sizes[i]), [sizes[i] for i in own], room - fill[b]) for b in others]
+    for b, own, lengths, free in held:
+        for x in bins[v]:
+            at = bisect_left(lengths, sizes[x] - free)
             if at < len(own):
-                offer(b, give, (own[at],))
+                offer(b, (x,), (own[at],))
+    for b, own, lengths, free in held if best is None else ():
+        for k, x in enumerate(bins[v][:24]):
+            for y in bins[v][k + 1 : 24]:
+                at = bisect_left(lengths, sizes[x] + sizes[y] - free)
+                if at < len(own):
+                    offer(b, (x, y), (own[at],))
         for x in bins[v]:  # one for two: the second is the smallest that still lets x in
             for k, y in enumerate(own[:24]):
                 at = max(k + 1, bisect_left(lengths, sizes[x] - free - sizes[y]))
