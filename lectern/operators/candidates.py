@@ -50,12 +50,26 @@ def usable(text: Column, normal: Column, sentence: Column, most: Column | int) -
     )
 
 
-def _made(rows: DataFrame, kind: str) -> DataFrame:
-    """rows (sentence columns as _BASE, text of the sentence as sentence, raw, subject, relation, emit_order): usable candidates of one type."""
-    most = C.RELATION_MAX_TOKENS if kind == "relation phrase" else C.CANDIDATE_MAX_TOKENS
+_RAW = [*_BASE, "sentence", "raw", "candidate_type", "subject", "relation", "emit_order"]
+
+
+def _made(rows: DataFrame) -> DataFrame:
+    """Usable candidates of raw ones (_RAW), whatever their types: cleaned and judged in one place of a plan."""
+    most = F.when(F.col("candidate_type") == "relation phrase", C.RELATION_MAX_TOKENS).otherwise(C.CANDIDATE_MAX_TOKENS)
     made = rows.withColumn("text", X.strip(X.collapse(F.col("raw")), " ,;:\\-")).withColumn("normalized_text", X.normalize_candidate(F.col("text")))
     made = made.where(usable(F.col("text"), F.col("normalized_text"), F.col("sentence"), most))
-    return made.select(*_BASE, "text", "normalized_text", F.col("sentence").alias("source_sentence"), F.lit(kind).alias("candidate_type"), "subject", "relation", "emit_order")
+    return made.select(*_BASE, "text", "normalized_text", F.col("sentence").alias("source_sentence"), "candidate_type", "subject", "relation", "emit_order")
+
+
+def _raw(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.withColumn("candidate_type", F.lit(kind)).select(*_RAW)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _order(*parts: Column | int) -> Column:
@@ -66,35 +80,44 @@ def _nothing() -> list[Column]:
     return [F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("relation")]
 
 
-def definitions(rows: DataFrame) -> DataFrame:
-    """The term that a sentence starts by defining."""
+def raw_definitions(rows: DataFrame) -> DataFrame:
     term = F.regexp_replace(F.regexp_extract("text", DEFINITION, 1), r"(?i)^(?:the\s+)?term\s+", "")
     found = rows.where(F.col("text").rlike(DEFINITION)).select(*_BASE, F.col("text").alias("sentence"), term.alias("raw"), *_nothing(), _order(0, 0, 0).alias("emit_order"))
-    return _made(found, "definition term")
+    return _raw(found, "definition term")
 
 
-def patterns(rows: DataFrame) -> DataFrame:
-    """All dates, then years, then quantities."""
-    out = None
+def raw_patterns(rows: DataFrame) -> DataFrame:
+    out = []
     for k, (pattern, kind) in enumerate(((DATE, "date/year"), (YEAR, "date/year"), (QUANTITY, "quantity/percentage"))):
         found = rows.select(*_BASE, F.col("text").alias("sentence"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("i", "raw"))
-        made = _made(found.select("*", *_nothing(), _order(1 + k, F.col("i"), 0).alias("emit_order")), kind)
-        out = made if out is None else out.unionByName(made)
-    return out
+        out.append(_raw(found.select("*", *_nothing(), _order(1 + k, F.col("i"), 0).alias("emit_order")), kind))
+    return _union(out)
 
 
-def relations(rows: DataFrame) -> DataFrame:
-    """Answers of relation patterns; rows has subject, which stands in where a pattern names none."""
-    out = None
+def raw_relations(rows: DataFrame) -> DataFrame:
+    out = []
     for k, (pattern, subject, relation, answer) in enumerate(RELATIONS):
         every = lambda g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
         groups = [every(relation).alias("relation"), every(answer).alias("raw")] + ([every(subject).alias("own")] if subject else [])
         found = rows.where(F.col("text").rlike(pattern)).select(*_BASE, F.col("text").alias("sentence"), F.col("subject").alias("near"), F.posexplode(F.arrays_zip(*groups)).alias("i", "m"))
         named = F.coalesce(F.nullif(F.col("m.own"), F.lit("")), F.col("near")) if subject else F.col("near")
-        found = found.select(*_BASE, "sentence", F.col("m.raw").alias("raw"), X.strip(named).alias("subject"), F.lower("m.relation").alias("relation"), _order(4 + k, F.col("i"), 0).alias("emit_order"))
-        made = _made(found, "relation phrase")
-        out = made if out is None else out.unionByName(made)
-    return out
+        out.append(_raw(found.select(*_BASE, "sentence", F.col("m.raw").alias("raw"), X.strip(named).alias("subject"), F.lower("m.relation").alias("relation"), _order(4 + k, F.col("i"), 0).alias("emit_order")), "relation phrase"))
+    return _union(out)
+
+
+def definitions(rows: DataFrame) -> DataFrame:
+    """The term that a sentence starts by defining."""
+    return _made(raw_definitions(rows))
+
+
+def patterns(rows: DataFrame) -> DataFrame:
+    """All dates, then years, then quantities."""
+    return _made(raw_patterns(rows))
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """Answers of relation patterns; rows has subject, which stands in where a pattern names none."""
+    return _made(raw_relations(rows))
 
 
 def tagged(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -104,17 +127,20 @@ def tagged(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tokens.join(known, F.col("token") == F.col("_token"), "left").drop("_token").withColumn("tag", F.coalesce("tag", F.lit(UNKNOWN_TAG)))
 
 
-def tagged_runs(tokens: DataFrame) -> DataFrame:
-    """Runs of proper nouns, runs of nouns and adjectives, and single nouns, in the order in which a reader meets their ends."""
+def raw_runs(tokens: DataFrame) -> DataFrame:
     place = Window.partitionBy("doc_id", "sentence_index").orderBy("pos")
-    out = None
+    out = []
     for k, (tags, kind) in enumerate(((PROPER, "proper noun"), (PHRASE, "noun phrase"))):
         inside = tokens.where(F.col("tag").isin(*tags)).withColumn("island", F.col("pos") - F.row_number().over(place))
         runs = inside.groupBy(*_BASE, "sentence", "island").agg(F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), " ").alias("raw"))
-        made = _made(runs.select(*_BASE, "sentence", "raw", *_nothing(), _order(8, F.col("last") + 1, k).alias("emit_order")), kind)
-        out = made if out is None else out.unionByName(made)
-    singles = tokens.where(F.col("tag").isin(*NOUNS)).select(*_BASE, "sentence", F.col("token").alias("raw"), *_nothing(), _order(8, F.col("pos"), 2).alias("emit_order"))
-    return out.unionByName(_made(singles, "general concept"))
+        out.append(_raw(runs.select(*_BASE, "sentence", "raw", *_nothing(), _order(8, F.col("last") + 1, k).alias("emit_order")), kind))
+    out.append(_raw(tokens.where(F.col("tag").isin(*NOUNS)).select(*_BASE, "sentence", F.col("token").alias("raw"), *_nothing(), _order(8, F.col("pos"), 2).alias("emit_order")), "general concept"))
+    return _union(out)
+
+
+def tagged_runs(tokens: DataFrame) -> DataFrame:
+    """Runs of proper nouns, runs of nouns and adjectives, and single nouns, in the order in which a reader meets their ends."""
+    return _made(raw_runs(tokens))
 
 
 def without_fragments(rows: DataFrame) -> DataFrame:
@@ -129,8 +155,7 @@ def without_fragments(rows: DataFrame) -> DataFrame:
 
 def extract(rows: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """All candidates of sentences; tagged ones only with a lexicon."""
-    subjects = with_subject(rows)
-    found = definitions(rows).unionByName(patterns(rows)).unionByName(relations(subjects))
+    found = [raw_definitions(rows), raw_patterns(rows), raw_relations(with_subject(rows))]
     if lexicon is not None:
-        found = found.unionByName(tagged_runs(tagged(rows, lexicon)))
-    return without_fragments(found)
+        found.append(raw_runs(tagged(rows, lexicon)))
+    return without_fragments(_made(_union(found)))
