@@ -1,5 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, mix, packing.
 
+Near-duplicates are documents whose shingles have a Jaccard similarity of `NEAR` percent or more, or that such links
+connect; op7_minhash has its own threshold of 85.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
 """
@@ -13,6 +16,9 @@ from lectern.llm import minhash, mixing, packing, suffix_dedup, toxicity
 from lectern.llm.queries import tokenizer_path
 from lectern.llm.shared import shared_folder, table
 
+#: Jaccard similarity of near-duplicates, in percent.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
@@ -21,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

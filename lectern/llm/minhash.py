@@ -13,8 +13,9 @@ No bucket is expanded into pairs, and no link between different sets that meet i
    links than connect what they hold.
 Pairs within a component need no test, as they cannot change it.
 
-With `BANDS` bands of `ROWS` coordinates, a pair at the threshold of 0.85 misses all buckets with probability
-(1 - 0.85**5)**20 = 8e-6; more similar pairs less.
+Bands have `ROWS` coordinates, and there are as many as it takes (`bands_for`) that a pair at the threshold misses all
+buckets with probability `MISS` at most: 20 at 0.85, (1 - 0.85**5)**20 = 8e-6, and 29 at 0.80, (1 - 0.8**5)**29 = 1e-5;
+more similar pairs less.
 
 Scale: texts are read once for signatures, and those of documents in a bucket of two or more once more for their sets.
 Shuffles carry ids, 64-bit digests and band keys, summed up by key before the shuffle; joins of a bucket's members with
@@ -27,7 +28,8 @@ their sets differ, the one with the smallest digest stands for it in tests. Othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,9 @@ from .covertree import stars
 from .shared import list_array, mix, shuffle_partitions, signed, slices, stored, utf8, word_hashes, words
 
 WORDS = 5
-BANDS, ROWS = 20, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+ROWS, MISS = 5, 1e-5
 #: Queries times members up to which a bucket's tests are rows of their own; beyond, they are made in blocks of GRID by GRID.
 SMALL, GRID = 1024, 1024
 
@@ -51,6 +53,17 @@ _STEP = int(mix(np.array([5], np.uint64))[0]) | 1
 _CHUNK = 1 << 18
 
 
+def bands_for(percent: int) -> int:
+    """The fewest bands by which a pair at the threshold is missed with probability MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}")
+    one = (percent / 100) ** ROWS
+    return 1 if one == 1 else math.ceil(math.log(MISS) / math.log1p(-one))
+
+
+BANDS = bands_for(PERCENT)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows' sets, each sorted, one after the other, and their sizes."""
     start, end, row = words(data, offsets)
@@ -112,21 +125,24 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 _SIGNED = "n_shingles long, d1 long, d2 long, bands array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for i, j in slices(offsets, _CHUNK):
-            values, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            full = counts > 0
-            d1, d2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-            keys = np.zeros((0, BANDS), np.uint64)
-            if full.any():
-                starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]]).astype(np.int64)
-                d1[full] = np.add.reduceat(mix(values ^ _C[12]), starts)
-                d2[full] = np.add.reduceat(mix(values ^ _C[13]), starts)
-                keys = band_keys(signatures(values, counts[full]))
-            bands = list_array(signed(keys.reshape(-1)), full * BANDS, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(signed(d1)), pa.array(signed(d2)), bands], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+def _signer(bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in slices(offsets, _CHUNK):
+                values, counts = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                full = counts > 0
+                d1, d2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                keys = np.zeros((0, bands), np.uint64)
+                if full.any():
+                    starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]]).astype(np.int64)
+                    d1[full] = np.add.reduceat(mix(values ^ _C[12]), starts)
+                    d2[full] = np.add.reduceat(mix(values ^ _C[13]), starts)
+                    keys = band_keys(signatures(values, counts[full], bands * ROWS), bands)
+                listed = list_array(signed(keys.reshape(-1)), full * bands, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(signed(d1)), pa.array(signed(d2)), listed], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +160,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = stored(texts.mapInArrow(_sign, f"doc_id long, {_SIGNED}"))
+    rows = stored(texts.mapInArrow(_signer(bands_for(percent)), f"doc_id long, {_SIGNED}"))
     taking_part = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(taking_part.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     met = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))

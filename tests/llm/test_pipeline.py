@@ -1,5 +1,7 @@
 """The pipeline's stages over a small scale, and the registry."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +27,36 @@ def test_every_operator_is_registered():
 
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
     assert set(SQL) <= set(QUERIES)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_near_copies_from_080_on_are_dropped(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    dice, rows, gone = random.Random(8), [], set()
+    for n in range(60):
+        words = [f"w{n}-{k}" for k in range(300)]
+        own = list(words)
+        for k in dice.sample(range(10, 290, 8), 5 + n % 3):
+            own[k] = f"v{k}"
+        one, two = shingles(" ".join(words)), shingles(" ".join(own))
+        if 100 * len(one & two) >= 80 * len(one | two):
+            assert len(one & two) < 0.85 * len(one | two)
+            gone.add(2 * n + 1)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(own))]
+    assert len(gone) == 40
+    kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert {r["doc_id"] for r in kept} == set(range(120)) - gone
+
+
+def test_bands_follow_the_threshold():
+    from lectern.llm import minhash
+
+    assert minhash.bands_for(85) == 20
+    for percent in range(20, 100):
+        bands = minhash.bands_for(percent)
+        assert (1 - (percent / 100) ** minhash.ROWS) ** bands <= minhash.MISS * (1 + 1e-9)
+    assert minhash.bands_for(100) == 1
