@@ -174,6 +174,39 @@ def search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]
     return [b for b in bins if b]
 
 
+def _thinned(own: list[int], sizes: list[int]) -> list[int]:
+    """Of pieces in the order of their sizes, two of each size at most."""
+    return [i for k, i in enumerate(own) if k < 2 or sizes[own[k - 2]] != sizes[i]]
+
+
+def _largest(lengths: list[int], most: int) -> tuple[int, int] | None:
+    """Places of two of the ascending lengths whose sum is largest of those up to `most`, by two pointers."""
+    best, found, i, k = -1, None, 0, len(lengths) - 1
+    while i < k:
+        both = lengths[i] + lengths[k]
+        if both > most:
+            k -= 1
+        else:
+            if both > best:
+                best, found = both, (i, k)
+            i += 1
+    return found
+
+
+def _smallest(lengths: list[int], least: int) -> tuple[int, int] | None:
+    """Places of two of the ascending lengths whose sum is smallest of those from `least` on, by two pointers."""
+    best, found, i, k = None, None, 0, len(lengths) - 1
+    while i < k:
+        both = lengths[i] + lengths[k]
+        if both < least:
+            i += 1
+        else:
+            if best is None or both < best:
+                best, found = both, (i, k)
+            k -= 1
+    return found
+
+
 def _step(v: int, bins: list[list[int]], fill: list[int], sizes: list[int], room: int, opened: list[int]) -> bool:
     """One move or exchange out of bin v, of the first kind that any piece allows: a move; one for one; one for two or two for one."""
     others = [b for b in opened if b != v and bins[b] and fill[b] >= fill[v]]
@@ -200,17 +233,20 @@ def _step(v: int, bins: list[list[int]], fill: list[int], sizes: list[int], room
             at = bisect_left(lengths, sizes[x] - free)
             if at < len(own):
                 offer(b, (x,), (own[at],))
-    for b, own, lengths, free in held if best is None else ():
-        for k, x in enumerate(bins[v][:24]):
-            for y in bins[v][k + 1 : 24]:
-                at = bisect_left(lengths, sizes[x] + sizes[y] - free)
-                if at < len(own):
-                    offer(b, (x, y), (own[at],))
-        for x in bins[v]:  # one for two: the second is the smallest that still lets x in
-            for k, y in enumerate(own[:24]):
-                at = max(k + 1, bisect_left(lengths, sizes[x] - free - sizes[y]))
-                if at < len(own):
-                    offer(b, (x,), (y, own[at]))
+    # Pieces of one length are alike: one of each length stands for single pieces, two of each for pairs.
+    mine = _thinned(sorted(bins[v], key=lambda i: sizes[i]), sizes) if best is None else []
+    of_mine = [sizes[i] for i in mine]
+    for b, own, _, free in held if best is None else ():
+        own = _thinned(own, sizes)
+        of_own = [sizes[i] for i in own]
+        for y in {sizes[i]: i for i in own}.values():  # two for one: the largest sum that still fits where y was
+            found = _largest(of_mine, sizes[y] + free)
+            if found:
+                offer(b, (mine[found[0]], mine[found[1]]), (y,))
+        for x in {sizes[i]: i for i in mine}.values():  # one for two: the smallest sum that still lets x in
+            found = _smallest(of_own, sizes[x] - free)
+            if found:
+                offer(b, (x,), (own[found[0]], own[found[1]]))
     if best is None:
         return False
     gain, b, give, get = best

@@ -112,6 +112,28 @@ def test_packing_keeps_every_piece_and_empties_bins():
     assert len(packing.search([[0, 1], [2], [3]], [6, 3, 7, 4], 10)) == 2
 
 
+def test_exchanges_take_any_piece_of_a_long_bin():
+    # Bin 0 holds 30 small pieces; only two beyond its 24th together make room's worth for one of bin 1.
+    sizes = [10] * 28 + [31, 32] + [60, 937]
+    bins, fill = [list(range(30)), [30, 31]], [343, 997]
+    assert packing._step(0, bins, fill, sizes, 1000, [0, 1]) and fill == [340, 1000]
+    assert sorted(bins[1]) == [28, 29, 31] and 30 in bins[0]
+    # One for two: the only pair of bin 1 that lets the piece in and gains has both pieces beyond its 24 smallest.
+    sizes = [83] + [1] * 26 + [40, 41, 850]
+    bins, fill = [[0], list(range(1, 30))], [83, sum(sizes[1:])]
+    assert packing._step(0, bins, fill, sizes, fill[1] + 2, [0, 1]) and fill[0] == 81 and sorted(bins[0]) == [27, 28]
+
+
+def test_best_pairs_equal_all_pairs():
+    dice = random.Random(6)
+    for _ in range(2000):
+        lengths = sorted(dice.randint(1, 30) for _ in range(dice.randint(0, 8)))
+        bound = dice.randint(0, 60)
+        sums = [lengths[i] + lengths[k] for i in range(len(lengths)) for k in range(i)]
+        for found, want in ((packing._largest(lengths, bound), max((s for s in sums if s <= bound), default=None)), (packing._smallest(lengths, bound), min((s for s in sums if s >= bound), default=None))):
+            assert (found and lengths[found[0]] + lengths[found[1]]) == want
+
+
 def test_encoder_equals_the_tokenizer():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
