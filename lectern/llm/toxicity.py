@@ -15,7 +15,7 @@ without a shuffle. The model is a few thousand numbers.
 
 Cases: null and empty texts have no token and get the background's score. If no label is known, or no toxic one, the
 field has no features and every score is the background's. Null ids are scored like any other. Rows stay as they are,
-repeated ones too; `filtered` keeps all columns.
+repeated ones too; `filtered` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .labelled import held_out, sample
 from .shared import _LOWER_BYTE, Rolling, list_array, mix, slices, utf8
 
 #: Labelled rows that the field is fitted on: of label 0 and of label 1 at most.
-SAMPLE = {0: 1500, 1: 750}
+SAMPLE = {0: 2000, 1: 1000}
 THRESHOLD = 0.3
 SPAN = 0.5
 PREFIXES = (4, 5, 6)
@@ -254,35 +254,41 @@ def tagged(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
-    """docs (all columns) with score and spans (list of (start, end) in bytes)."""
+    """doc_id, score and spans (list of (start, end) in bytes) of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((field.hashes, field.weights, field.bias, field.transitions))
-    out = docs.columns
-    text_at = out.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
         for batch in batches:
-            data, offsets = utf8(batch.column(text_at))
+            data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets):
                 score, spans = tagged(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
                 pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
                 at = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-                columns = [c.slice(i, j - i) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.ListArray.from_arrays(pa.array(at), pairs)], [*out, "_score", "_spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.ListArray.from_arrays(pa.array(at), pairs)], ["doc_id", "score", "spans"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_spans", SPANS)])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of each row."""
-    field = fit(sample(docs, labels, "toxic", SAMPLE))
-    rows = scored(docs.select("doc_id", "text"), field)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
+    rows = scored(docs, fit(sample(docs, labels, "toxic", SAMPLE)))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that are not predicted toxic."""
+    """The rows of docs, with their columns, that are not predicted toxic. Only texts go through Python; rows stay where they are."""
     field = fit(sample(docs, labels, "toxic", SAMPLE))
-    return scored(docs, field).where(F.col("_score") < THRESHOLD).drop("_score", "_spans")
+    shared = docs.sparkSession.sparkContext.broadcast((field.hashes, field.weights, field.bias, field.transitions))
+
+    @F.arrow_udf(T.DoubleType())
+    def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Field(*shared.value)
+        for column in texts:
+            data, offsets = utf8(column)
+            found = [tagged(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in slices(offsets)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return docs.where(score_of(F.col("text")) < THRESHOLD)
