@@ -7,9 +7,10 @@ full, always from an emptier bin towards a fuller one, so that the sum of square
 exchange is left or the bound of total / length is met. Bins that are still open after that, a few in each block, are
 dissolved, and their pieces are packed the same way once more across blocks.
 
-Tokenising. Ids equal those of the tokenizer's file. Where a text holds only characters below U+0180 without controls,
-its normal form and its pre-tokens are plain, and pre-tokens are looked up in a bounded table of ids that the tokenizer
-itself fills; any other text goes through the tokenizer whole.
+Tokenising. Ids equal those of the tokenizer's file, whatever it is. If its steps are those that `_STEPS` states, then a
+text that holds only characters below U+0180 without controls has a plain normal form and plain pre-tokens, which are
+looked up in a bounded table of ids that the tokenizer's model itself fills; any other text, and every text under another
+tokenizer, goes through the tokenizer whole. The table lasts for one task.
 
 Scale: texts are read once and never shuffled; what moves is a row of numbers for each piece. Blocks bound what one task
 holds, whatever the table's size, and no group of documents shares a key.
@@ -20,6 +21,7 @@ Other columns are not carried by `pack`. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -46,6 +48,17 @@ _L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xb
 _SPACE = "\t\n\x0b\x0c\r "
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
+#: The steps of a tokenizer's file that _OTHER and _PRE stand for.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class Encoder:
@@ -56,6 +69,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        added = [x["content"] for x in steps["added_tokens"]]
+        model = steps["model"]
+        #: Whether plain texts may be looked up by pre-tokens.
+        self.known = all(steps[k] == v for k, v in _STEPS.items()) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and all(x.startswith("<|") for x in added)
         #: The same model for text that is split and lower-cased already; the last id of a pre-token is one that ends a word.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -79,7 +98,7 @@ class Encoder:
             start = end
 
     def encode(self, text: str) -> bytes:
-        if _OTHER.search(text) or "<|" in text:
+        if not self.known or _OTHER.search(text) or "<|" in text:
             return self._whole(text)
         parts = _PRE.findall(text.lower())
         table = self.table
@@ -103,13 +122,19 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32, and the ids themselves if asked for, of each piece."""
+    """doc_id, row, piece, start, length and ids_crc32, and the ids themselves if asked for, of each piece. row tells pieces of rows that repeat an id apart."""
     kind = docs.schema["doc_id"].dataType
     end = np.asarray([closing], "<u4").tobytes()
     step = 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
+        try:
+            yield from encoded(own, batches)
+        finally:  # workers outlive their tasks
+            own.table.clear()
+
+    def encoded(own: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, rows, ids = [], [], []
             for r, text in enumerate(batch.column(1)):
@@ -121,13 +146,14 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: in
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             numbers = np.array(rows, np.int64).reshape(-1, 4)
-            columns = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(numbers[:, 0].astype(np.int32)), *(pa.array(numbers[:, c]) for c in (1, 2, 3))]
+            taken = pa.array(source, pa.int64())
+            columns = [batch.column(0).take(taken), batch.column(2).take(taken), pa.array(numbers[:, 0].astype(np.int32)), *(pa.array(numbers[:, c]) for c in (1, 2, 3))]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind.simpleString()}, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
 
 
 # --- one block -------------------------------------------------------------------------------------------------------
@@ -283,12 +309,12 @@ def pack(rows: DataFrame, *, length: int = LENGTH) -> DataFrame:
 def _round(rows: DataFrame, length: int, level: int) -> DataFrame:
     total = rows.agg(F.sum("length")).first()[0] or 0
     many = max(1, -(-total // BLOCK_TOKENS))
-    number = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(many))
+    number = F.pmod(F.xxhash64("row", "piece"), F.lit(many))
     numbered = rows.withColumn("_block", number)
     names = rows.columns
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "ids_crc32", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["length", "ids_crc32", "row", "piece"], kind="stable").reset_index(drop=True)
         sizes = frame["length"].tolist()
         sequence, offset, dissolved = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         base = (level << 58) | (int(frame["_block"].iloc[0]) << 22)
@@ -306,5 +332,5 @@ def _round(rows: DataFrame, length: int, level: int) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids) of each piece of all documents."""
+    """doc_id, row, piece, start, length, ids_crc32, sequence_id and offset (and ids) of each piece of all documents."""
     return pack(stored(pieces(docs, tokenizer, length=length, closing=closing, with_ids=with_ids)), length=length)
