@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents with their places in sequences."""
-    return packing.packed_documents(docs, tokenizer_path())
+    """Pieces of tokenised documents with their ids and their places in sequences; row tells a document's copies apart."""
+    return packing.packed_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [
