@@ -95,12 +95,39 @@ def test_cover_tree_links_and_search(dims, spread):
     want = {tuple(e) for e in covertree.stars(i, j + 140, len(x)).tolist()}
     assert {tuple(e) for e in edges.tolist()} == want
     whole = np.floor(100 * x)
-    found = covertree.best(covertree.Tree.build(whole[:20], 4), np.arange(20), covertree.Tree.build(whole, 4), np.arange(len(x)), 7)
-    for r, (names, scores) in enumerate(found):
+    search = covertree.Search(covertree.Tree.build(whole[:20]), np.arange(20), 7)
+    search.over(covertree.Tree.build(whole[::2]), np.arange(0, len(x), 2))
+    search.over(covertree.Tree.build(whole[1::2]), np.arange(1, len(x), 2))
+    for r, (names, scores) in enumerate(zip(search.name, search.score)):
         order = sorted((-(whole[r] @ whole[k]), k) for k in range(len(x)) if k != r)[:7]
         assert names.tolist() == [k for _, k in order] and scores.tolist() == [-s for s, _ in order]
 
 
+def test_search_prunes_queries_in_many_clusters():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.floor(1024 * np.repeat(centres, 100, 0) + 10 * rng.normal(size=(4000, 16)))
+    names = np.arange(len(x)) // 2 * 2  # every id twice
+    asked = np.arange(0, len(x), 100)
+    search = covertree.Search(covertree.Tree.build(x[asked]), names[asked], 10)
+    search.over(covertree.Tree.build(x), names)
+    assert search.products < 0.2 * len(asked) * len(x)
+    for q, found, scores in zip(asked, search.name, search.score):
+        order = sorted((-(x[q] @ x[k]), names[k]) for k in range(len(x)) if names[k] != names[q])[:10]
+        assert found.tolist() == [k for _, k in order] and scores.tolist() == [-s for s, _ in order]
+
+
+def test_radii_cover_vectors_that_all_but_coincide():
+    rng = np.random.default_rng(5)
+    base = covertree.directions(rng.normal(size=(40, 16)))
+    turned = base + 0.45 * rng.normal(size=base.shape) / 4
+    x = covertree.directions(np.concatenate([base, turned, base + 1e-8 * rng.normal(size=base.shape), turned + 1e-9 * rng.normal(size=base.shape)]))
+    values = np.sort((x @ x.T).ravel())
+    for cosine in values[values < 0.999][::501]:
+        ca, _, _ = covertree.linked(covertree.Tree.build(x), covertree.Tree.build(x), cosine + 1e-13)
+        assert ca.tolist() == (x @ x.T >= cosine + 1e-13).sum(1).tolist()
+
+
 def test_packing_keeps_every_piece_and_empties_bins():
     dice = random.Random(2)
     sizes = [dice.randint(1, 4096) for _ in range(300)] + [4096, 4096]
