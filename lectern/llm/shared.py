@@ -23,28 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or where that is unset (tests) below the local temporary folder."""
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir. Where that is unset a local session gets a temporary folder; on a cluster that would not be shared, so it is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share.")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/lectern-shared"
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so the planner knows its true size."""
-    path = f"{shared_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it back, so the planner knows its true size. What is read from it is lazy, so the folder stays as long as the session (`clear`)."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(f"{path}/table")
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+
+
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that `stored` has written so far, once what was read from them is no longer needed; returns how many."""
+    many = len(_WRITTEN)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return many
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names like those given that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

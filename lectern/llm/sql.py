@@ -75,4 +75,36 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-SQL: dict[str, str] = {"op1_warc": _OP1, "op3_covertree": _OP3, "op4_top_k": _OP4, "op8_mixing": _OP8, "op10_url_filters": _OP10}
+# Every string of 100 bytes, as 200 digits, against all others; the first by document and start stays.
+_OP2 = r"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, s, substr(x, (2 * s + 1)::BIGINT, 200) AS w FROM (SELECT doc_id, x, unnest(range(n - 99)) AS s FROM raw WHERE n >= 100)),
+numbered AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS no FROM strings),
+again AS (SELECT doc_id, s, s - 100 > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) AS opens FROM numbered WHERE no > 1),
+islands AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM again),
+spans AS (SELECT doc_id, island, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY ALL),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM spans),
+summed AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS last FROM spans GROUP BY doc_id),
+before AS (SELECT g.doc_id, string_agg(substr(x, (2 * upto + 1)::BIGINT, (2 * (a - upto))::BIGINT), '' ORDER BY a) AS kept FROM gaps g JOIN raw r ON g.doc_id = r.doc_id GROUP BY g.doc_id)
+SELECT r.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(from_hex(coalesce(kept, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM raw r LEFT JOIN summed s ON r.doc_id = s.doc_id LEFT JOIN before b ON r.doc_id = b.doc_id
+"""
+
+# All pairs that share a shingle, on full sets.
+_OP7 = r"""
+WITH RECURSIVE spelt AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM spelt),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, list(doc_id) AS ids, len(any_value(s))::BIGINT AS n FROM sets GROUP BY list_sort(s)),
+items AS (SELECT rep, n, md5_number(unnest(s)) AS g FROM classes WHERE n > 0),
+both_ AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM both_ WHERE 100 * k >= 85 * (na + nb - k) UNION ALL SELECT b, a FROM both_ WHERE 100 * k >= 85 * (na + nb - k)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+placed AS (SELECT unnest(ids) AS doc_id, n, least(rep, coalesce(low, rep)) AS component FROM classes LEFT JOIN lowest ON a = rep)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component END AS component_id, doc_id = CASE WHEN n = 0 THEN doc_id ELSE component END AS kept FROM placed
+"""
+
+SQL: dict[str, str] = {"op2_suffix_array": _OP2, "op7_minhash": _OP7, "op1_warc": _OP1, "op3_covertree": _OP3, "op4_top_k": _OP4, "op8_mixing": _OP8, "op10_url_filters": _OP10}

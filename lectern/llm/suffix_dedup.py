@@ -6,11 +6,15 @@ start is one in a document with a smaller id, or before in the same document.
 1. Every 100-byte string holds an anchor: of its substrings of `GRAM` bytes the one with the smallest hash, the first of
    equal ones. Equal strings have equal anchors at equal places. Strings that follow each other and share an anchor make
    a run; two runs with the same bytes around their anchors hold the same strings.
-2. Runs are dealt by their anchors. Of runs with the same bytes all but the first are removed. An anchor whose runs are
-   all alike needs nothing else.
+2. Runs are dealt by their anchors. Of runs that are alike all but the first are removed: alike by their bytes where they
+   meet in a batch of documents, elsewhere by 64 bits each of two hashes, of the anchor and, not linear, of the whole run.
+   An anchor whose runs are all alike needs nothing else.
 3. Where runs of one anchor differ, their bytes are fetched, and what they hold to the right of the anchor and, reversed,
    to its left, is sorted by a suffix array (linear grouping construction) over blocks of bytes. Common prefixes of
    neighbours in the two orders say which runs agree up to any place; two strings are equal if they agree on both sides.
+4. An anchor with more than `HOT` different runs is split: its runs are cut by how many bytes a string has before the
+   anchor, and dealt by the bytes that all strings of a part have in common places, so equal strings still meet. Beyond
+   `HOTTER` each string is dealt by itself. Alike parts of a batch of documents go on as one.
 
 Scale: texts are read in segments of bounded size. Runs are pre-aggregated where they are read, so a passage that a third
 of all documents share reaches its anchor's task once for each batch of documents, not once for each document; of runs
@@ -19,8 +23,8 @@ collected, and there is no limit on how often a string may occur.
 
 Cases: null texts are empty; a text under 100 bytes loses nothing. A row with a null id loses nothing and removes nothing.
 Rows that repeat an id and a text are one document, and each row gets its result; texts that differ under one id are
-ordered by a hash. `reduced` (the pipeline's form) keeps all rows and columns, with the bytes that are left as text:
-parts of characters that a cut leaves behind go too.
+ordered by a hash. `reduced` (the pipeline's form) keeps all rows and columns, whatever their names, with the bytes that
+are left as text: parts of characters that a cut leaves behind go too.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Rolling, mix, shuffle_partitions, signed, slices, stored, utf8
+from .shared import Rolling, mix, shuffle_partitions, signed, slices, spare, stored, utf8
 from .suffix_array import suffix_array
 
 LENGTH = 100
@@ -50,8 +54,35 @@ _PLACE = 24
 _SYMBOL = 23
 #: Rows of runs, and of runs' bytes, that are worked on at once.
 _ROWS, _TEXTS = 200_000, 20_000
+#: Different runs of an anchor from which on it is split by parts, and by strings.
+HOT, HOTTER = 256, 1 << 16
+#: Parts: strings with so many bytes, from and to, before the anchor.
+_PARTS = ((0, 0), (1, 2), (3, 6), (7, 14), (15, 30), (31, 37), (38, 53), (54, 61), (62, 65), (66, 67), (68, 68))
 
-_RUN = "h long, c long, doc_id long, tag long, start long, width short, lead short"
+#: no counts an anchor's different runs, from 0.
+_RUN = "h long, c long, doc_id long, tag long, start long, width short, lead short, no int"
+_NAMES = ["h", "c", "doc_id", "tag", "start", "width", "lead", "no"]
+_WORDS = mix(np.arange(7001, 7001 + (LENGTH + SPAN) // 8 + 1, dtype=np.uint64))
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of substrings, one after the other, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
+def hash_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of substrings of up to LENGTH + SPAN bytes: each word of 8 bytes is mixed with its place and all are added."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    total = mix(size.astype(np.uint64) + np.uint64(1))
+    for k in range((int(size.max()) + 7) // 8 if len(size) else 0):
+        rest = size - 8 * k
+        at = np.flatnonzero(rest > 0)
+        value = np.ascontiguousarray(word[begin[at] + 8 * k]).view(np.uint64)[:, 0]
+        cut = (8 * np.maximum(0, 8 - rest[at])).astype(np.uint64)
+        total[at] += mix((value << cut) ^ _WORDS[k])
+    return mix(total)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,11 +126,32 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     last = np.concatenate([first[1:], [len(start)]]) - 1
     begin, width, at = start[first], start[last] - start[first], anchor[first]
     part = np.searchsorted(offsets, begin, side="right") - 1
-    whole = rolling.of(begin, begin + width + LENGTH)
+    whole = hash_of(data, begin, width + LENGTH)
     c = mix(whole ^ mix(((at - begin) << 8 | width).astype(np.uint64) + np.uint64(1)))
     return part, begin, width, at - begin, grams[at], c
 
 
+def _alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether substrings one[k] and two[k] (places in begin) have the same bytes; their sizes are equal."""
+    out = np.ones(len(one), bool)
+    for i in range(0, len(one), _TEXTS):
+        a, b = one[i : i + _TEXTS], two[i : i + _TEXTS]
+        left, bounds = gathered(data, begin[a], size[a])
+        right, _ = gathered(data, begin[b], size[b])
+        if len(left):
+            out[i : i + _TEXTS] = np.logical_and.reduceat(left == right, bounds[:-1])
+    return out
+
+
+def _firsts(keys: list[np.ndarray], doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in the order of (keys, doc, tag, start); and in that order which have the keys of the row before, and where their first one is."""
+    order = np.lexsort((start, tag, doc, *keys[::-1]))
+    again = np.zeros(len(order), bool)
+    if len(order):
+        again[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    return order, again, np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of documents (doc_id, tag, text); of alike runs in a batch the first. The others are strings to remove: lead -1, h any, width how far the last starts behind."""
     for batch in batches:
@@ -115,56 +167,65 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         row, start, width, lead, h, c = (np.concatenate(x) for x in zip(*found))
         doc, tag = ids[row], tags[row]
-        order = np.lexsort((start, tag, doc, c))
-        again = np.zeros(len(order), bool)
-        again[1:] = c[order][1:] == c[order][:-1]
+        order, again, head = _firsts([c], doc, tag, start)
+        begin, size = offsets[row] + start, width + LENGTH
+        # What hashes alike but isn't stays a run of its own.
+        at = np.flatnonzero(again)
+        again[at] = (size[order[at]] == size[order[head[at]]]) & (lead[order[at]] == lead[order[head[at]]])
+        at = np.flatnonzero(again)
+        again[at] = _alike(data, begin, size, order[at], order[head[at]])
         # The same run of a row that repeats an id and a text is not a second one, but changes nothing either: it is removed only if it starts after.
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         same = (doc[order] == doc[order[head]]) & (tag[order] == tag[order[head]]) & (start[order] == start[order[head]])
         lead = lead[order].astype(np.int16)
         lead[again] = -1
         keep = ~(again & same)
         order, lead = order[keep], lead[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(h[order])), pa.array(signed(c[order])), pa.array(doc[order]), pa.array(tag[order]), pa.array(start[order]), pa.array(width[order].astype(np.int16)), pa.array(lead)], ["h", "c", "doc_id", "tag", "start", "width", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h[order])), pa.array(signed(c[order])), pa.array(doc[order]), pa.array(tag[order]), pa.array(start[order]), pa.array(width[order].astype(np.int16)), pa.array(lead), pa.array(np.zeros(len(lead), np.int32))], _NAMES)
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by (h, c, doc_id, tag, start): strings to remove (lead -1) pass; of alike runs all but the first become such; of an anchor with different runs, these stay as questions."""
-    held: list[np.ndarray] = []
+    """Runs sorted by (h, c, doc_id, tag, start): strings to remove (lead -1) pass; of alike runs all but the first become such; of an anchor with different runs, these stay as questions, numbered.
 
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    Of the last anchor so far only its last different run is held, whatever their number, and whether it was given out.
+    """
+    held: list[np.ndarray] | None = None
+    given = False
 
-    def solve(x: list[np.ndarray], final: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        h, c, doc, tag, start, _, lead = x
+    def solve(x: list[np.ndarray], final: bool) -> list[np.ndarray]:
+        nonlocal held, given
+        h, c, doc, tag, start, _, lead, no = x
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-        same = again & (doc == doc[head]) & (tag == tag[head]) & (start == start[head])
-        remove = again & ~same
-        first = ~again
-        f = np.flatnonzero(first)
-        waiting = np.zeros(len(f), bool) if final or not len(f) else h[f] == h[f[-1]]
-        lone = np.zeros(len(f), bool)
-        if len(f):
-            left = np.concatenate([[True], h[f][1:] != h[f][:-1]])
-            right = np.concatenate([h[f][1:] != h[f][:-1], [True]])
-            lone = left & right
-        out = np.zeros(len(h), bool)
+        remove = again & ~((doc == doc[head]) & (tag == tag[head]) & (start == start[head]))
+        f = np.flatnonzero(~again)
+        turn = np.concatenate([[True], h[f][1:] != h[f][:-1]])
+        first = np.flatnonzero(turn)[np.cumsum(turn) - 1]
+        number = np.arange(len(f)) - first
+        if held is not None:
+            number[first == 0] += no[0]
+        lone = turn & np.concatenate([turn[1:], [final]])
+        if held is not None and given:
+            lone[0] = False
+        waiting = np.zeros(len(f), bool)
+        waiting[-1] = not final and turn[-1] and not (held is not None and given and len(f) == 1)
+        out = remove.copy()
         out[f[~lone & ~waiting]] = True
-        out |= remove
-        lead = np.where(remove, np.int16(-1), lead)
-        result = [a[out] for a in (h, c, doc, tag, start, x[5], lead)]
-        return result, [a[f[waiting]] for a in x]
-
-    names = ["h", "c", "doc_id", "tag", "start", "width", "lead"]
+        if held is not None and given:
+            out[0] = False
+        numbers = np.zeros(len(h), np.int32)
+        numbers[f] = number
+        result = [a[out] for a in (h, c, doc, tag, start, x[5], np.where(remove, np.int16(-1), lead), numbers)]
+        given = not waiting[-1]
+        held = [a[f[-1] : f[-1] + 1] for a in (*x[:7], numbers)]
+        return result
 
     def batch_of(x: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in x], names)
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in x], _NAMES)
 
     pending, rows = [], 0
     for batch in batches:
-        x = columns(batch)
+        x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         passing = x[6] < 0
         if passing.any():
             yield batch_of([a[passing] for a in x])
@@ -172,37 +233,75 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending.append(x)
         rows += len(x[0])
         if rows >= _ROWS:
-            whole = [np.concatenate(a) for a in zip(*([held] if held else []), *pending)]
-            out, held = solve(whole, False)
+            out = solve([np.concatenate(a) for a in zip(*([held] if held else []), *pending)], False)
             pending, rows = [], 0
             if len(out[0]):
                 yield batch_of(out)
-    if held or pending:
-        whole = [np.concatenate(a) for a in zip(*([held] if held else []), *pending)]
-        if len(whole[0]):
-            out, _ = solve(whole, True)
-            if len(out[0]):
-                yield batch_of(out)
+    if rows or held:
+        out = solve([np.concatenate(a) for a in zip(*([held] if held else []), *pending)], True)
+        if len(out[0]):
+            yield batch_of(out)
+
+
+def split_runs(h: np.ndarray, width: np.ndarray, lead: np.ndarray, data: np.ndarray, begin: np.ndarray, parts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs, those of their parts that hold strings: (run, its new anchor's hash, bytes before the anchor of the part's first string and of its last one)."""
+    rows, keys, most, least = [], [], [], []
+    for low, high in parts:
+        a, b = np.minimum(lead, high), np.maximum(lead - width, low)
+        at = np.flatnonzero(a >= b)
+        if not len(at):
+            continue
+        anchor = begin[at] + lead[at]
+        # All strings of the part hold these bytes, at the same places around the anchor.
+        common = hash_of(data, anchor - low, np.full(len(at), LENGTH - high + low))
+        rows.append(at)
+        keys.append(mix(common ^ mix(h[at] + np.uint64(low * 128 + high))))
+        most.append(a[at])
+        least.append(b[at])
+    return tuple(np.concatenate(x) for x in (rows, keys, most, least))
+
+
+_SINGLE = tuple((a, a) for a in range(SPAN))
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, tag, text, list of runs): each run with its bytes."""
+    """From (doc_id, tag, text, list of runs): each run with its bytes, split if its anchor is hot; of alike parts in a batch the first, the others as strings to remove (lead -1)."""
     for batch in batches:
         data, offsets = utf8(batch.column(2))
         asked = batch.column(3)
         flat = asked.flatten()
         counts = np.diff(asked.offsets.to_numpy())
         row = np.repeat(np.arange(len(counts)), counts)
-        h, start, width, lead = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        begin = offsets[row] + start
-        size = width.astype(np.int64) + LENGTH
+        h, start, width, lead, level = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        h, width, lead = h.view(np.uint64), width.astype(np.int64), lead.astype(np.int64)
+        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        remove = np.zeros(len(row), bool)
+        if level.any():
+            parts = [(np.flatnonzero(level == 0), None)]
+            for kind, cuts in ((1, _PARTS), (2, _SINGLE)):
+                at = np.flatnonzero(level == kind)
+                if len(at):
+                    parts.append((at, split_runs(h[at], width[at], lead[at], data, offsets[row[at]] + start[at], cuts)))
+            plain = parts[0][0]
+            made = [(row[plain], h[plain], start[plain], width[plain], lead[plain], np.zeros(len(plain), bool))]
+            for at, (run, key, most, least) in parts[1:]:
+                own = at[run]
+                new_row, new_start, new_width = row[own], start[own] + lead[own] - most, most - least
+                order, again, head = _firsts([key, most, least], ids[new_row], tags[new_row], new_start)
+                place = np.flatnonzero(again)
+                again[place] = _alike(data, offsets[new_row] + new_start, new_width + LENGTH, order[place], order[head[place]])
+                same = (ids[new_row][order] == ids[new_row][order[head]]) & (tags[new_row][order] == tags[new_row][order[head]]) & (new_start[order] == new_start[order[head]])
+                keep = ~(again & same)
+                order, again = order[keep], again[keep]
+                made.append((new_row[order], key[order], new_start[order], new_width[order], most[order], again))
+            row, h, start, width, lead, remove = (np.concatenate(x) for x in zip(*made))
+        begin, size = offsets[row] + start, np.where(remove, 0, width + LENGTH)
+        lead = np.where(remove, -1, lead)
         for i in range(0, len(row), _TEXTS):
             s = slice(i, i + _TEXTS)
-            at = np.repeat(begin[s] - np.concatenate([[0], np.cumsum(size[s])[:-1]]), size[s]) + np.arange(size[s].sum())
-            bounds = np.concatenate([[0], np.cumsum(size[s])]).astype(np.int32)
-            run = pa.Array.from_buffers(pa.binary(), len(size[s]), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[at].tobytes())])
-            take = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([pa.array(h[s]), batch.column(0).take(take), batch.column(1).take(take), pa.array(start[s]), pa.array(width[s]), pa.array(lead[s]), run], ["h", "doc_id", "tag", "start", "width", "lead", "run"])
+            content, bounds = gathered(data, begin[s], size[s])
+            run = pa.Array.from_buffers(pa.binary(), len(size[s]), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(content.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(h[s]))), pa.array(ids[row[s]]), pa.array(tags[row[s]]), pa.array(start[s]), pa.array(width[s].astype(np.int16)), pa.array(lead[s].astype(np.int16)), run], ["h", "doc_id", "tag", "start", "width", "lead", "run"])
 
 
 def _sides(run: np.ndarray, bounds: np.ndarray, width: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,13 +318,17 @@ def _sides(run: np.ndarray, bounds: np.ndarray, width: np.ndarray, lead: np.ndar
     return right, right_size, left, left_size
 
 
-def _orders(group: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows by (group, right) and by (group, left): from one suffix array over symbols, each of _SYMBOL bytes, of both sides of all rows."""
+def _orders(group: np.ndarray, right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows by (group, right) and by (group, left): from one suffix array over symbols, each of _SYMBOL bytes, of both sides of all rows.
+
+    A symbol's last byte says how many of its bytes are the side's own, so an end sorts before any byte, 0 included.
+    """
     n = len(group)
-    parts = right.shape[1] // _SYMBOL + bool(right.shape[1] % _SYMBOL)
+    parts = -(-right.shape[1] // _SYMBOL)
     padded = np.zeros((2 * n, parts * _SYMBOL), np.uint8)
     padded[:n, : right.shape[1]], padded[n:, : left.shape[1]] = right, left
-    blocks = np.ascontiguousarray(padded.reshape(2 * n * parts, _SYMBOL)).view(f"S{_SYMBOL}").reshape(-1)
+    own = np.clip(np.concatenate([right_size, left_size])[:, None] - _SYMBOL * np.arange(parts), 0, _SYMBOL).astype(np.uint8)
+    blocks = np.concatenate([padded.reshape(2 * n * parts, _SYMBOL), own.reshape(-1, 1)], 1).view(f"S{_SYMBOL + 1}").reshape(-1)
     _, symbol = np.unique(blocks, return_inverse=True)
     groups = int(group.max()) + 1
     text = np.empty((2 * n, parts + 1), np.int64)
@@ -248,10 +351,14 @@ def _common(order: np.ndarray, group: np.ndarray, side: np.ndarray, size: np.nda
 
 def repeated(h: np.ndarray, rank: np.ndarray, width: np.ndarray, lead: np.ndarray, run: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs (rank: their order in the table), the strings that an earlier run holds too: (run, how far it starts behind the run's first)."""
-    _, group = np.unique(h, return_inverse=True)
     width, lead = width.astype(np.int64), lead.astype(np.int64)
+    # An anchor is its hash and its bytes; a last byte keeps zeros.
+    anchor = np.ones((len(h), 8 + GRAM + 1), np.uint8)
+    anchor[:, :8] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    anchor[:, 8:-1] = run[(bounds[:-1] + lead)[:, None] + np.arange(GRAM)]
+    _, group = np.unique(anchor.view(f"S{anchor.shape[1]}").reshape(-1), return_inverse=True)
     right, right_size, left, left_size = _sides(run, bounds, width, lead)
-    by_right, by_left = _orders(group, right, left)
+    by_right, by_left = _orders(group, right, right_size, left, left_size)
     common_right, common_left = _common(by_right, group, right, right_size), _common(by_left, group, left, left_size)
     rows, offs = [], []
     class_right, class_left = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
@@ -271,9 +378,7 @@ def repeated(h: np.ndarray, rank: np.ndarray, width: np.ndarray, lead: np.ndarra
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with bytes, sorted by h: strings to remove, as (doc_id, tag, start, stop)."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    """Runs with bytes, sorted by h: strings to remove, as (doc_id, tag, start, stop). Those known already (lead -1) pass."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         h, doc, tag, start, width, lead = (table.column(k).to_numpy() for k in range(6))
@@ -295,17 +400,26 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = row[first]
         return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array(start[r] + off[first]), pa.array(start[r] + off[last] + LENGTH)], ["doc_id", "tag", "start", "stop"])
 
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
+        known = pa.compute.less(batch.column(5), 0)
+        if pa.compute.any(known).as_py():
+            gone = batch.filter(known)
+            stop = pa.compute.add(pa.compute.add(gone.column(3), gone.column(4).cast(pa.int64())), LENGTH)
+            yield pa.RecordBatch.from_arrays([gone.column(1), gone.column(2), gone.column(3), stop], ["doc_id", "tag", "start", "stop"])
+            batch = batch.filter(pa.compute.invert(known))
+        if not batch.num_rows:
+            continue
+        if rows + batch.num_rows >= _TEXTS:
+            h = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if cut or (held and held[-1].column(0)[-1].as_py() != h[0]):
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held, rows = [], 0
+                batch = batch.slice(cut)
         held.append(batch)
         rows += batch.num_rows
-        if rows >= _TEXTS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            h = table.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-            if cut:
-                yield solve(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                rows = table.num_rows - cut
     if rows:
         yield solve(pa.Table.from_batches(held).combine_chunks())
 
@@ -330,9 +444,13 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sorted_runs = runs.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h", "c", "doc_id", "tag", "start")
     resolved = stored(sorted_runs.mapInArrow(_resolved, _RUN))
     gone = resolved.where("lead < 0").select("doc_id", "tag", "start", (F.col("start") + F.col("width") + LENGTH).alias("stop"))
-    asked = resolved.where("lead >= 0").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "start", "width", "lead")).alias("asked"))
+    # An anchor's run of number HOT, or HOTTER, stands for the anchor.
+    hot = resolved.where(f"lead >= 0 and no in ({HOT}, {HOTTER})").groupBy("h").agg(F.when(F.max("no") == HOTTER, 2).otherwise(1).cast("short").alias("level"))
+    questions = resolved.where("lead >= 0").join(hot, "h", "left").withColumn("level", F.coalesce("level", F.lit(0).cast("short")))
+    asked = questions.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "start", "width", "lead", "level")).alias("asked"))
     fetched = known.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asked").mapInArrow(_fetched, "h long, doc_id long, tag long, start long, width short, lead short, run binary")
-    answered = fetched.repartition(many, "h").sortWithinPartitions("h").mapInArrow(_answered, "doc_id long, tag long, start long, stop long")
+    dealt = F.when(F.col("lead") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
+    answered = fetched.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h").mapInArrow(_answered, "doc_id long, tag long, start long, stop long")
     spans = gone.unionByName(answered).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return tagged, spans
 
@@ -389,11 +507,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 def reduced(docs: DataFrame) -> DataFrame:
     """The rows of docs with what is left of their texts; n_chars, if it is a column, is that of the new text."""
     names = docs.columns
-    light = docs.select("doc_id", "text")
-    _, spans = _spans(light)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    rows = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left").select(*names, "_spans")
-    at = names.index("text")
+    _, spans = _spans(docs.select("doc_id", "text"))
+    doc, tag, own = spare(names, "_id", "_tag", "_spans")
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(own))
+    rows = docs.join(spans, (F.col("doc_id") == F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tag)), "left").select(*names, own)
+    at = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _judged(batches, at, len(names)):

@@ -73,6 +73,36 @@ def test_runs_cover_every_string_once():
     assert ((lead >= width) & (lead <= suffix_dedup.SPAN - 1)).all()
 
 
+def test_hashes_of_runs_are_those_of_their_bytes():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    begin, size = rng.integers(0, 3800, 3000), rng.integers(0, 168, 3000)
+    seen = {}
+    for b, n, h in zip(begin, size, suffix_dedup.hash_of(data, begin, size)):
+        assert seen.setdefault(data[b : b + n].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_runs_of_an_anchor_are_numbered_over_chunks(monkeypatch):
+    import pyarrow as pa
+
+    dice = random.Random(7)
+    rows = sorted((dice.choice((1, 2, 2, 2, 3, 9)) if k < 300 else 100 + k, dice.randint(0, 40), k, 0, 0) for k in range(340))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(5)] + [pa.array([0] * len(part), pa.int16()), pa.array([5] * len(part), pa.int16()), pa.array([0] * len(part), pa.int32())], suffix_dedup._NAMES)
+    want = None
+    for chunk in (10_000, 1, 7, 50):
+        monkeypatch.setattr(suffix_dedup, "_ROWS", chunk)
+        got = [tuple(r.values()) for b in suffix_dedup._resolved(iter([batch(rows[i : i + 13]) for i in range(0, len(rows), 13)])) for r in b.to_pylist()]
+        want = want or sorted(got)
+        assert sorted(got) == want
+    runs = {}
+    for h, c, *_ in rows:
+        runs.setdefault(h, set()).add(c)
+    questions = [r for r in want if r[6] >= 0]
+    assert sorted((r[0], r[7]) for r in questions) == sorted((h, k) for h, cs in runs.items() if len(cs) > 1 for k in range(len(cs)))
+    assert len(want) - len(questions) == len(rows) - sum(map(len, runs.values()))
+
+
 def test_merged_spans():
     assert suffix_dedup.merged(np.array([[5, 9], [0, 2], [2, 3], [6, 7], [20, 30]])).tolist() == [[0, 3], [5, 9], [20, 30]]
 

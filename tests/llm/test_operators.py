@@ -85,11 +85,10 @@ def test_large_buckets_are_held_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(table(spark, rows)).collect())) == plain
 
 
-def test_suffix_dedup_equals_brute_force(spark):
-    rows = odd(spark) + [(30, "ab" * 130, "s"), (31, "q" * 50 + "ab" * 70, "s"), (32, "é" * 130, "s"), (33, "x" * 99, "s")]
-    got = {r["doc_id"]: r for r in suffix_dedup.dedup(table(spark, rows)).collect()}
-    seen = set()
-    for i, t in sorted({(i, t or "") for i, t, _ in rows if i is not None}):
+def brute_passages(rows):
+    """n_bytes, n_removed, n_spans and hash by id, of (id, text) with distinct ids or equal texts."""
+    out, seen = {}, set()
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}):
         b, gone = t.encode(), bytearray(len(t.encode()))
         for s in range(len(b) - 99):
             w = b[s : s + 100]
@@ -98,14 +97,48 @@ def test_suffix_dedup_equals_brute_force(spark):
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        r = got[i]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    assert got[None]["n_removed"] == 0
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def passages(frame):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(frame).where("doc_id is not null").collect()}
+
+
+def test_suffix_dedup_equals_brute_force(spark):
+    rows = odd(spark) + [(30, "ab" * 130, "s"), (31, "q" * 50 + "ab" * 70, "s"), (32, "é" * 130, "s"), (33, "x" * 99, "s")]
+    assert passages(table(spark, rows)) == brute_passages([r[:2] for r in rows])
+    assert suffix_dedup.dedup(table(spark, rows)).where("doc_id is null").first()["n_removed"] == 0
     left = suffix_dedup.reduced(table(spark, rows))
     assert left.columns == table(spark, rows).columns and left.count() == len(rows)
     assert left.where("doc_id = 20").first()["text"] is None
 
 
+def test_suffix_dedup_tells_ends_from_zeros(spark):
+    dice = random.Random(12)
+    shared = "".join(dice.choice("ab\0") for _ in range(90))
+    rows = [(i, "\0" * dice.randint(0, 30) + shared + "\0" * dice.randint(0, 40) + dice.choice(("", "a", "\0a")), "s") for i in range(80)]
+    assert passages(table(spark, rows)) == brute_passages([r[:2] for r in rows])
+
+
+@pytest.mark.parametrize("hot,hotter", [(3, 10_000), (3, 6)])
+def test_hot_anchors_are_split(spark, monkeypatch, hot, hotter):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOTTER", hotter)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    dice = random.Random(13)
+    noise = lambda n: "".join(dice.choice("abc ") for _ in range(n))
+    word, passage = noise(45), noise(130)
+    rows = [(i, noise(dice.randint(0, 60)) + dice.choice((word, passage)) + noise(dice.randint(0, 60)), "s") for i in range(120)]
+    rows += [(200 + i, noise(1) + passage + noise(2), "s") for i in range(60)] + [(300, noise(1500) + passage + "a" * 900 + word, "s")] + rows[:5]
+    assert passages(table(spark, rows).repartition(3)) == brute_passages([r[:2] for r in rows])
+
+
+def test_suffix_dedup_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert passages(docs) == brute_passages([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_cover_tree_blocks_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK", 40)
     rng = np.random.default_rng(3)
