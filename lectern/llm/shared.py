@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,12 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so the planner knows its true size. What is read from it is lazy, so the folder stays as long as the session (`clear`)."""
-    path = shared_folder(df.sparkSession)
+def stored(df: DataFrame, *, large: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so the planner knows its true size. What is read from it is lazy, so the folder stays as long as the session (`clear`). large: the shuffles that made it take much disk, so they are let go at once."""
+    spark, schema, path = df.sparkSession, df.schema, shared_folder(df.sparkSession)
     df.write.parquet(f"{path}/table")
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+    if large:
+        del df
+        let_go(spark)
+    return spark.read.schema(schema).parquet(f"{path}/table")
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: that is when Spark's cleaner deletes the files of shuffles that nothing refers to any more. The pause is for the thread that passes Python's own garbage on."""
+    gc.collect()
+    for pause in (1.3, 0.2):  # the first collection lets go of the objects that hold what the second one is for
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
 
 
 _WRITTEN: list[str] = []

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Rolling, mix, shuffle_partitions, signed, slices, spare, stored, utf8
+from .shared import CHUNK_BYTES, Rolling, mix, shuffle_partitions, signed, slices, spare, stored, utf8
 from .suffix_array import suffix_array
 
 LENGTH = 100
@@ -60,7 +60,7 @@ HOT, HOTTER = 256, 1 << 16
 _PARTS = ((0, 0), (1, 2), (3, 6), (7, 14), (15, 30), (31, 37), (38, 53), (54, 61), (62, 65), (66, 67), (68, 68))
 
 #: no counts an anchor's different runs, from 0.
-_RUN = "h long, c long, doc_id long, tag long, start long, width short, lead short, no int"
+_RUN = "h long, c long, doc_id long, tag long, start long, width int, lead short, no int"
 _NAMES = ["h", "c", "doc_id", "tag", "start", "width", "lead", "no"]
 _WORDS = mix(np.arange(7001, 7001 + (LENGTH + SPAN) // 8 + 1, dtype=np.uint64))
 
@@ -71,23 +71,32 @@ def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.
     return data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number; those behind the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.uint64, buffer=padded.data, strides=(1,))
+
+
+def _eighth(word: np.ndarray, begin: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Of substrings: which have bytes from 8 * k on, and the first 8 of those as a number."""
+    if 8 * k + 8 <= LENGTH and (size >= 8 * k + 8).all():
+        return slice(None), word[begin + 8 * k]
+    at = np.flatnonzero(size > 8 * k)
+    return at, word[begin[at] + 8 * k] << (8 * np.maximum(0, 8 * k + 8 - size[at])).astype(np.uint64)
+
+
 def hash_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hashes of substrings of up to LENGTH + SPAN bytes: each word of 8 bytes is mixed with its place and all are added."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
-    total = mix(size.astype(np.uint64) + np.uint64(1))
+    word, total = _eights(data), mix(size.astype(np.uint64) + np.uint64(1))
     for k in range((int(size.max()) + 7) // 8 if len(size) else 0):
-        rest = size - 8 * k
-        at = np.flatnonzero(rest > 0)
-        value = np.ascontiguousarray(word[begin[at] + 8 * k]).view(np.uint64)[:, 0]
-        cut = (8 * np.maximum(0, 8 - rest[at])).astype(np.uint64)
-        total[at] += mix((value << cut) ^ _WORDS[k])
+        at, value = _eighth(word, begin, size, k)
+        total[at] += mix(value ^ _WORDS[k])
     return mix(total)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """bytes, offsets of parts, the row of each part, and where it starts in its text; parts of a text overlap by LENGTH - 1."""
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, min(CHUNK_BYTES, SEGMENT)):
         part = data[offsets[i] : offsets[j]]
         if len(part) <= SEGMENT + LENGTH:
             yield part, offsets[i : j + 1] - offsets[i], np.arange(i, j), np.zeros(j - i, np.int64)
@@ -133,13 +142,11 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
 
 def _alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Whether substrings one[k] and two[k] (places in begin) have the same bytes; their sizes are equal."""
-    out = np.ones(len(one), bool)
-    for i in range(0, len(one), _TEXTS):
-        a, b = one[i : i + _TEXTS], two[i : i + _TEXTS]
-        left, bounds = gathered(data, begin[a], size[a])
-        right, _ = gathered(data, begin[b], size[b])
-        if len(left):
-            out[i : i + _TEXTS] = np.logical_and.reduceat(left == right, bounds[:-1])
+    word, sizes, out = _eights(data), size[one], np.ones(len(one), bool)
+    for k in range((int(sizes.max()) + 7) // 8 if len(one) else 0):
+        at, left = _eighth(word, begin[one], sizes, k)
+        _, right = _eighth(word, begin[two], sizes, k)
+        out[at] &= left == right
     return out
 
 
@@ -153,7 +160,7 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, tag: np.ndarray, start: np.
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of documents (doc_id, tag, text); of alike runs in a batch the first. The others are strings to remove: lead -1, h any, width how far the last starts behind."""
+    """Runs of documents (doc_id, tag, text); of alike runs in a batch the first. The others are spans to remove: lead -1, h any, width how far the last string starts behind."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         tags = batch.column(1).to_numpy(zero_copy_only=False)
@@ -176,11 +183,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[at] = _alike(data, begin, size, order[at], order[head[at]])
         # The same run of a row that repeats an id and a text is not a second one, but changes nothing either: it is removed only if it starts after.
         same = (doc[order] == doc[order[head]]) & (tag[order] == tag[order[head]]) & (start[order] == start[order[head]])
-        lead = lead[order].astype(np.int16)
-        lead[again] = -1
-        keep = ~(again & same)
-        order, lead = order[keep], lead[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(h[order])), pa.array(signed(c[order])), pa.array(doc[order]), pa.array(tag[order]), pa.array(start[order]), pa.array(width[order].astype(np.int16)), pa.array(lead), pa.array(np.zeros(len(lead), np.int32))], _NAMES)
+        # What is known to go is given out as spans, each of all runs that overlap.
+        gone = np.sort(order[again & ~same])
+        gone = gone[np.argsort(begin[gone], kind="stable")]
+        reach = np.maximum.accumulate(begin[gone] + size[gone])
+        opens = np.flatnonzero(np.concatenate([[True], (begin[gone][1:] > reach[:-1]) | (row[gone][1:] != row[gone][:-1])])) if len(gone) else gone
+        span = reach[np.concatenate([opens[1:], [len(gone)]]) - 1] - begin[gone[opens]] if len(gone) else gone
+        first, kept = gone[opens], order[~again]
+        both = np.concatenate([kept, first])
+        widths = np.concatenate([width[kept], span - LENGTH]).astype(np.int32)
+        leads = np.concatenate([lead[kept], np.full(len(first), -1)]).astype(np.int16)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h[both])), pa.array(signed(c[both])), pa.array(doc[both]), pa.array(tag[both]), pa.array(start[both]), pa.array(widths), pa.array(leads), pa.array(np.zeros(len(both), np.int32))], _NAMES)
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +280,9 @@ _SINGLE = tuple((a, a) for a in range(SPAN))
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, tag, text, list of runs): each run with its bytes, split if its anchor is hot; of alike parts in a batch the first, the others as strings to remove (lead -1)."""
     for batch in batches:
+        batch = batch.filter(batch.column(3).is_valid())
+        if not batch.num_rows:
+            continue
         data, offsets = utf8(batch.column(2))
         asked = batch.column(3)
         flat = asked.flatten()
@@ -352,11 +368,13 @@ def _common(order: np.ndarray, group: np.ndarray, side: np.ndarray, size: np.nda
 def repeated(h: np.ndarray, rank: np.ndarray, width: np.ndarray, lead: np.ndarray, run: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs (rank: their order in the table), the strings that an earlier run holds too: (run, how far it starts behind the run's first)."""
     width, lead = width.astype(np.int64), lead.astype(np.int64)
-    # An anchor is its hash and its bytes; a last byte keeps zeros.
-    anchor = np.ones((len(h), 8 + GRAM + 1), np.uint8)
-    anchor[:, :8] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
-    anchor[:, 8:-1] = run[(bounds[:-1] + lead)[:, None] + np.arange(GRAM)]
-    _, group = np.unique(anchor.view(f"S{anchor.shape[1]}").reshape(-1), return_inverse=True)
+    # An anchor is its bytes; they differ under one hash only by chance.
+    _, first, group = np.unique(h, return_index=True, return_inverse=True)
+    at, grams = bounds[:-1] + lead, np.full(len(h), GRAM)
+    if not _alike(run, at, grams, np.arange(len(h)), first[group]).all():
+        spelt = np.ones((len(h), GRAM + 1), np.uint8)  # a last byte keeps zeros
+        spelt[:, :-1] = run[at[:, None] + np.arange(GRAM)]
+        _, group = np.unique(spelt.view(f"S{GRAM + 1}").reshape(-1), return_inverse=True)
     right, right_size, left, left_size = _sides(run, bounds, width, lead)
     by_right, by_left = _orders(group, right, right_size, left, left_size)
     common_right, common_left = _common(by_right, group, right, right_size), _common(by_left, group, left, left_size)
@@ -433,26 +451,36 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) with tag, dealt by id; and per document that loses bytes its list of (start, stop)."""
-    many = shuffle_partitions(docs.sparkSession)
-    tagged = docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = tagged.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text")
+def _questions(known: DataFrame, many: int) -> DataFrame:
+    """The table that _resolved gives."""
     runs = known.mapInArrow(_runs, _RUN)
     # What is already known to go needs no anchor: it is dealt by its document.
     dealt = F.when(F.col("lead") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
     sorted_runs = runs.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h", "c", "doc_id", "tag", "start")
-    resolved = stored(sorted_runs.mapInArrow(_resolved, _RUN))
+    return sorted_runs.mapInArrow(_resolved, _RUN)
+
+
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) with tag, dealt by id; and per document that loses bytes its list of (start, stop)."""
+    many = shuffle_partitions(docs.sparkSession)
+    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    resolved = stored(_questions(tagged.where("doc_id is not null").select("doc_id", "tag", "text"), many), large=True)
     gone = resolved.where("lead < 0").select("doc_id", "tag", "start", (F.col("start") + F.col("width") + LENGTH).alias("stop"))
     # An anchor's run of number HOT, or HOTTER, stands for the anchor.
     hot = resolved.where(f"lead >= 0 and no in ({HOT}, {HOTTER})").groupBy("h").agg(F.when(F.max("no") == HOTTER, 2).otherwise(1).cast("short").alias("level"))
     questions = resolved.where("lead >= 0").join(hot, "h", "left").withColumn("level", F.coalesce("level", F.lit(0).cast("short")))
     asked = questions.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "start", "width", "lead", "level")).alias("asked"))
-    fetched = known.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asked").mapInArrow(_fetched, "h long, doc_id long, tag long, start long, width short, lead short, run binary")
+    asked = asked.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "asked")
+    # The same join of texts as the one with the spans, so that both read one exchange.
+    fetched = _joined(tagged, asked).select("doc_id", "tag", "text", "asked").mapInArrow(_fetched, "h long, doc_id long, tag long, start long, width short, lead short, run binary")
     dealt = F.when(F.col("lead") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
     answered = fetched.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h").mapInArrow(_answered, "doc_id long, tag long, start long, stop long")
     spans = gone.unionByName(answered).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return tagged, spans
+    return tagged, spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
+
+
+def _joined(tagged: DataFrame, found: DataFrame) -> DataFrame:
+    return tagged.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -486,12 +514,6 @@ def _judged(batches: Iterator[pa.RecordBatch], text_at: int, spans_at: int) -> I
         yield batch, out
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    tagged, spans = _spans(docs)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    return tagged.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
 
@@ -500,8 +522,8 @@ def dedup(docs: DataFrame) -> DataFrame:
             numbers = np.array([x[:3] for x in rows], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(3)), pa.array([hashlib.sha256(x[3]).hexdigest() for x in rows], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _joined(*_spans(docs.select("doc_id", "text")))
+    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "spans").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def reduced(docs: DataFrame) -> DataFrame:
@@ -509,7 +531,7 @@ def reduced(docs: DataFrame) -> DataFrame:
     names = docs.columns
     _, spans = _spans(docs.select("doc_id", "text"))
     doc, tag, own = spare(names, "_id", "_tag", "_spans")
-    spans = spans.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(own))
+    spans = spans.toDF(doc, tag, own)
     rows = docs.join(spans, (F.col("doc_id") == F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tag)), "left").select(*names, own)
     at = [c.lower() for c in names].index("text")
 

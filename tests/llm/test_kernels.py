@@ -88,7 +88,7 @@ def test_runs_of_an_anchor_are_numbered_over_chunks(monkeypatch):
 
     dice = random.Random(7)
     rows = sorted((dice.choice((1, 2, 2, 2, 3, 9)) if k < 300 else 100 + k, dice.randint(0, 40), k, 0, 0) for k in range(340))
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(5)] + [pa.array([0] * len(part), pa.int16()), pa.array([5] * len(part), pa.int16()), pa.array([0] * len(part), pa.int32())], suffix_dedup._NAMES)
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(5)] + [pa.array([0] * len(part), pa.int32()), pa.array([5] * len(part), pa.int16()), pa.array([0] * len(part), pa.int32())], suffix_dedup._NAMES)
     want = None
     for chunk in (10_000, 1, 7, 50):
         monkeypatch.setattr(suffix_dedup, "_ROWS", chunk)
@@ -103,6 +103,27 @@ def test_runs_of_an_anchor_are_numbered_over_chunks(monkeypatch):
     assert len(want) - len(questions) == len(rows) - sum(map(len, runs.values()))
 
 
+def test_long_texts_are_read_in_segments(monkeypatch):
+    import pyarrow as pa
+
+    dice = random.Random(17)
+    texts = ["".join(dice.choice("abcd") for _ in range(n)) for n in (2500, 90, 1100, 100)]
+    texts.append(texts[0][300:1900])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([0] * 5, pa.int64()), pa.array(texts)], ["doc_id", "tag", "text"])
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 20)
+    whole = [r for b in suffix_dedup._runs(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 400)
+    parts = [r for b in suffix_dedup._runs(iter([batch])) for r in b.to_pylist()]
+    # Each string is in one run or, if it is known to go, in a span.
+    for rows in (whole, parts):
+        runs = [(r["doc_id"], r["start"] + k) for r in rows if r["lead"] >= 0 for k in range(r["width"] + 1)]
+        spans = {(r["doc_id"], r["start"] + k) for r in rows if r["lead"] < 0 for k in range(r["width"] + 1)}
+        assert len(runs) == len(set(runs))
+        assert set(runs) | spans >= {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)}
+        for i, k in spans - set(runs):
+            assert any(texts[i][k : k + 100] in texts[j][: k + 99 if i == j else None] for j in range(i + 1))
+
+
 def test_merged_spans():
     assert suffix_dedup.merged(np.array([[5, 9], [0, 2], [2, 3], [6, 7], [20, 30]])).tolist() == [[0, 3], [5, 9], [20, 30]]
 
