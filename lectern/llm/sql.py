@@ -23,9 +23,9 @@ placed AS (
 copies AS (
   SELECT doc_id, ord, place, size, (e * source_size + ends)::BIGINT AS fin, (e * source_size + ends)::DOUBLE / target AS vft
   FROM placed, range(3) r(e) WHERE size > 0 AND target > 0),
-summed AS (SELECT *, sum(size) OVER (ORDER BY vft, place, ord, fin ROWS UNBOUNDED PRECEDING) AS upto FROM copies),
-taken AS (SELECT doc_id, ord, place, count(*) AS n FROM summed WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY ALL)
-SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * coalesce(t.n, 0))::BIGINT AS taken
+summed AS (SELECT *, sum(size) OVER (ORDER BY vft, place, ord, fin ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY vft, place, ord, fin) AS no FROM copies),
+taken AS (SELECT doc_id, ord, place, count(*) AS n, min(no)::BIGINT AS position FROM summed WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * coalesce(t.n, 0))::BIGINT AS taken, t.position
 FROM placed p LEFT JOIN taken t ON p.doc_id = t.doc_id
 """
 

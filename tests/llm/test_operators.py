@@ -186,29 +186,55 @@ def test_packing_is_gapless_and_whole(spark):
     assert packing.packed_documents(table(spark, rows).where("false"), path).count() == 0
 
 
-def test_mix_meets_targets_and_repeats(spark):
+def test_mix_meets_targets_and_repeats(spark, monkeypatch):
     rows = [(i, "w " * (i % 7 + 1), f"s{i % 4}" if i % 5 else None) for i in range(400)] + odd(spark)
     frame = table(spark, rows)
     got = mixing.mix(frame).collect()
+    monkeypatch.setattr(mixing, "RANGE", 37)
     assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(frame).collect()), key=str)
     total = sum(r["size"] for r in got)
     assert all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in got)
-    by_target = {}
+    by_target, longest = {}, max(r["size"] for r in got)
     for r in got:
         by_target[r["target"]] = by_target.get(r["target"], 0) + r["taken"]
-    assert sum(by_target.values()) <= total
+    assert total - longest < sum(by_target.values()) <= total
+    # A source runs behind or ahead by its next document at most.
+    assert all(abs(n - target) <= 2 * longest for target, n in by_target.items())
+    assert sorted(r["position"] for r in got if r["position"]) == sorted({r["position"] for r in got if r["taken"]})
     copies = mixing.mixed(frame)
     assert copies.columns == frame.columns
     assert copies.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
     assert mixing.mix(frame.where("false")).count() == 0 and mixing.mixed(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_mixed_is_in_the_order_of_the_queue(spark, alike):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(60)] + ([(3, "w " * 4, "s0")] * 3 if alike else [])
+    frame = table(spark, rows)
+    place = {}
+    for r in mixing.mix(frame).where("position is not null").collect():
+        place[r["doc_id"]] = min(r["position"], place.get(r["doc_id"], 10**9))
+    met = list(dict.fromkeys(r["doc_id"] for r in mixing.mixed(frame).collect()))
+    assert met == sorted(place, key=place.get)
+
+
 def test_targets_are_capped_and_reshared(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 90), (None, 100)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
     assert got["a"] == 30.0 and abs(sum(got.values()) - 200) < 1e-9 and abs(got["b"] - 2 * got[None]) < 1e-9
 
 
+def test_columns_with_clashing_names_stay(spark):
+    names = "_tag _tag0 _no _no0 _copy copies _spans _score _id _own _ka _position place no _range".split()
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(20)), f"s{i % 2}") for i in range(6)]
+    frame = table(spark, rows).select("*", *(F.lit(7).alias(n) for n in names), F.lit("x").alias("_Text"))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out in (mixing.mixed(frame), suffix_dedup.reduced(frame), toxicity.filtered(frame, labels)):
+        assert out.columns == frame.columns
+        assert {r["doc_id"]: r["text"] for r in out.collect()}.items() <= {i: t for i, t, _ in rows}.items()
+        assert all(r[n] == 7 for r in out.collect() for n in names)
+
+
 def test_classifiers_score_every_row(spark):
     rows = [(i, ("idiotic moron " if i % 3 == 0 else "kind words ") + f"about thing{i % 9} and others of a kind", "s") for i in range(120)] + odd(spark)
     labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(100)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
