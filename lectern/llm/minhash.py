@@ -18,12 +18,12 @@ buckets with probability `MISS` at most: 20 at 0.85, (1 - 0.85**5)**20 = 8e-6, a
 more similar pairs less.
 
 Scale: texts are read once for signatures, and those of documents in a bucket of two or more once more for their sets.
-Shuffles carry ids, 64-bit digests and band keys, summed up by key before the shuffle; joins of a bucket's members with
-its pivot can be split where one bucket is very large, and the blocks of a large bucket are tasks of their own.
+Shuffles carry ids, 64-bit digests and band keys, summed up by key before the shuffle; the set of a pivot that very many
+members are held against is sent along in copies, one for each `SALTED` of them, and the blocks of a large bucket, which
+hold `CELL` bytes of sets at most, are tasks of their own.
 
 Cases: null, empty or blank texts have an empty set and link with nothing. A row with a null id takes part in nothing
-and is kept. Rows that repeat an id are one vertex; if
-their sets differ, the one with the smallest digest stands for it in tests. Other columns are not carried.
+and is kept. Rows that repeat an id are one vertex, which has the links of each of its sets. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ PERCENT = 85
 ROWS, MISS = 5, 1e-5
 #: Queries times members up to which a bucket's tests are rows of their own; beyond, they are made in blocks of GRID by GRID.
 SMALL, GRID = 1024, 1024
+#: Bytes of sets in such a block, about (a set that is larger is alone); tests of one set that one task makes, about.
+CELL, SALTED = 64 << 20, 256
 
 _C = mix(np.arange(1001, 1001 + 16, dtype=np.uint64))
 _STEP = int(mix(np.array([5], np.uint64))[0]) | 1
@@ -163,27 +165,34 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     rows = stored(texts.mapInArrow(_signer(bands_for(percent)), f"doc_id long, {_SIGNED}"))
     taking_part = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(taking_part.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
-    met = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    # A class is known by its smallest id and, as rows may repeat an id, its digest.
+    met = classes.select("rep", "d1", F.col("n_shingles").cast("int").alias("length"), F.explode("bands").alias("key"))
     sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(met.join(sizes, "key").select("key", "rep", "n"))
+    shared = stored(met.join(sizes, "key").select("key", "rep", "d1", "length", "n"))
     # A bucket's pivot is its member that meets most others over all buckets: near the middle of a group of copies.
-    meets = shared.groupBy("rep").agg(F.sum("n").alias("meets"))
-    pivots = shared.select("key", "rep").join(meets, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("pivot"))
-    members = stored(shared.join(pivots, "key").select("key", "rep", "pivot"))
-    star = members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    meets = shared.groupBy("rep", "d1").agg(F.sum("n").alias("meets"))
+    pivots = shared.select("key", "rep", "d1").join(meets, ["rep", "d1"]).groupBy("key").agg(F.max_by(F.struct("rep", "d1"), F.struct("meets", -F.col("rep"), "d1")).alias("pivot"))
+    members = stored(shared.join(pivots, "key").select("key", "rep", "d1", "length", F.col("pivot.rep").alias("pivot"), F.col("pivot.d1").alias("pd1")))
+    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("pd1").alias("da"), F.col("rep").alias("b"), F.col("d1").alias("db")).distinct()
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(texts.join(stored(needed), "doc_id", "left_semi").mapInArrow(_sets, "id long, d1 long, set array<long>").groupBy("id").agg(F.min_by("set", "d1").alias("set")))
+    sets = texts.join(stored(needed), "doc_id", "left_semi").mapInArrow(_sets, "id long, d1 long, set array<long>")
+    sets = stored(sets.groupBy("id", "d1").agg(F.any_value("set").alias("set")))
     tested = stored(_tested(star, sets, percent))
     found = components(tested.where("linked").select("a", "b"))
-    placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
-    open_ = parts.where("parts > 1").select("key", F.col("most.component").alias("main"), "size", (F.col("size") - F.col("most.n")).alias("asking"))
-    split = stored(placed.join(open_, "key").withColumn("asks", F.col("component") != F.col("main")))
+    placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "d1", "length", F.coalesce("component", "rep").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("length").alias("length")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("length").alias("longest"), F.max(F.struct("n", "component")).alias("most"))
+    open_ = parts.where("parts > 1").select("key", F.col("most.component").alias("main"), "size", "longest", (F.col("size") - F.col("most.n")).alias("asking"))
+    split = stored(placed.drop("length").join(open_, "key").withColumn("asks", F.col("component") != F.col("main")))
     small = F.col("asking") * F.col("size") <= SMALL
     few = split.where(small)
-    asked = few.where("asks").select("key", F.col("rep").alias("q"), F.col("component").alias("of"))
-    rest = asked.join(few, "key").where("of <> component").select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct()
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    asked = few.where("asks").select("key", F.col("rep").alias("a"), F.col("d1").alias("da"), F.col("component").alias("of"))
+    rest = asked.join(few, "key").where("of <> component").select("a", "da", F.col("rep").alias("b"), F.col("d1").alias("db"))
+    # Each pair once, in either order.
+    one, two = F.struct(F.col("a").alias("v"), F.col("da").alias("d")), F.struct(F.col("b").alias("v"), F.col("db").alias("d"))
+    low, high = F.least(one, two), F.greatest(one, two)
+    rest = rest.select(low["v"].alias("a"), low["d"].alias("da"), high["v"].alias("b"), high["d"].alias("db")).distinct()
+    done = tested.select("a", "da", "b", "db")
+    rest = rest.join(done.union(done.select("b", "db", "a", "da")), ["a", "da", "b", "db"], "left_anti")
     more = _tested(rest, sets, percent).where("linked").select("a", "b")
     whole = components(tested.where("linked").select("a", "b").union(more).union(_gridded(split.where(~small), sets, percent)))
     back = rows.drop("bands").join(classes.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"], "left")
@@ -194,13 +203,14 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 def _gridded(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what the large buckets' queries link with: a grid of blocks of queries by blocks of members."""
-    across, down = F.ceil(F.col("size") / GRID).cast("int"), F.ceil(F.col("asking") / GRID).cast("int")
-    spread = F.xxhash64("rep", "key")
+    grid = F.greatest(F.lit(1), F.least(F.lit(GRID), (F.lit(CELL // 16) / F.col("longest")).cast("int")))
+    across, down = F.ceil(F.col("size") / grid).cast("int"), F.ceil(F.col("asking") / grid).cast("int")
+    spread = F.xxhash64("rep", "d1", "key")
     column, line = F.pmod(spread, across).cast("int"), F.pmod(spread, down).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    held = split.select("key", "rep", "component", F.lit(False).alias("asks"), column.alias("x"), F.explode(upto(down)).alias("y"))
-    asking = split.where("asks").select("key", "rep", "component", "asks", F.explode(upto(across)).alias("x"), line.alias("y"))
-    cells = held.union(asking).join(sets, F.col("rep") == F.col("id")).select("key", "x", "y", "asks", "rep", "component", "set")
+    held = split.select("key", "rep", "d1", "component", F.lit(False).alias("asks"), column.alias("x"), F.explode(upto(down)).alias("y"))
+    asking = split.where("asks").select("key", "rep", "d1", "component", "asks", F.explode(upto(across)).alias("x"), line.alias("y"))
+    cells = held.union(asking).join(sets.withColumnRenamed("id", "rep"), ["rep", "d1"]).select("key", "x", "y", "asks", "rep", "component", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -253,10 +263,15 @@ def _cell(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether their sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    """pairs (a, da, b, db: ids and digests) and whether their sets are similar enough. Of an a that many are held against, the set is sent in copies."""
+    hot = pairs.groupBy("a", "da").agg(F.count("*").alias("n")).where(F.col("n") > SALTED).select("a", "da", F.ceil(F.col("n") / SALTED).cast("int").alias("copies"))
+    hot = stored(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64("b", "db"), F.col("copies")).cast("int"), F.lit(0))
+    salted = pairs.join(hot, ["a", "da"], "left").withColumn("salt", salt).drop("copies")
+    one = sets.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("set").alias("sa")).join(hot, ["a", "da"], "left")
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    two = sets.select(F.col("id").alias("b"), F.col("d1").alias("db"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
     near = (100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", (near & linked).alias("linked"))
+    return salted.join(two, ["b", "db"]).join(one, ["a", "da", "salt"]).select("a", "da", "b", "db", (near & linked).alias("linked"))

@@ -29,7 +29,7 @@ from .shared import spare, stored
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Rows of a range.
-RANGE = 1 << 20
+RANGE = 1 << 16
 SEED = "mix"
 
 

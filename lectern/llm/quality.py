@@ -98,10 +98,13 @@ class Voters:
         latent = self.project(rows)
         for i in range(0, len(rows), _BLOCK):
             near = latent[i : i + _BLOCK] @ self.vectors.T
-            at = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
-            weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64)
+            edge = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k][:, None]
+            above, level = near > edge, near == edge
+            # Of those at the edge the first ones, as many as there is room for.
+            chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+            weight = np.where(chosen, np.maximum(near, 0), 0).astype(np.float64)
             total = weight.sum(1)
-            out[i : i + _BLOCK] = np.where(total > 0, (weight * self.labels[at]).sum(1) / np.where(total > 0, total, 1), self.labels.mean())
+            out[i : i + _BLOCK] = np.where(total > 0, weight @ self.labels / np.where(total > 0, total, 1), self.labels.mean())
         return np.clip(out, 0.0, 1.0)
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stored
+from .shared import shared_folder, shuffle_partitions, stored
 
 ROLL_BYTES = 64 << 20
 _READ = 1 << 20
@@ -72,6 +72,10 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
+#: Tasks for each shuffle partition, at most, that rewrite archives; beyond, a task has several.
+_ARCHIVES = 16
+
+
 class _Whole:
     """A file that appears under its name only when it is complete."""
 
@@ -85,6 +89,14 @@ class _Whole:
         self.out.write(data)
         self.at += len(data)
 
+    def discard(self) -> None:
+        """After a failure: what is written so far goes."""
+        try:
+            self.out.close()
+            self.fs.delete_file(self.own)
+        except OSError:
+            pass
+
     def close(self) -> None:
         self.out.close()
         try:
@@ -160,19 +172,24 @@ def write(pages: DataFrame, folder: str, *, min_revisit: int = 0) -> DataFrame:
             done.append((f"{folder}/raw/part-{part:06d}-{number:04d}.warc.gz", count))
             out = None
 
-        for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(k) for k in range(4))):
-                if out is None:
-                    out, member, count, raw = _Whole(f"{folder}/raw/part-{part:06d}-{number:04d}.warc.gz"), zlib.compressobj(_LEVEL, wbits=31), 0, 0
-                    out.write(member.compress(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:archive:{part}-{number}>", "WARC-Date": _DATE}, b"")))
-                record = page_record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py())
-                out.write(member.compress(record))
-                count, raw = count + 1, raw + len(record)
-                if raw >= ROLL_BYTES:
-                    close()
-                    number += 1
-        if out is not None:
-            close()
+        try:
+            for batch in batches:
+                for page_id, url, html, refers_to in zip(*(batch.column(k) for k in range(4))):
+                    if out is None:
+                        out, member, count, raw = _Whole(f"{folder}/raw/part-{part:06d}-{number:04d}.warc.gz"), zlib.compressobj(_LEVEL, wbits=31), 0, 0
+                        out.write(member.compress(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:archive:{part}-{number}>", "WARC-Date": _DATE}, b"")))
+                    record = page_record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py())
+                    out.write(member.compress(record))
+                    count, raw = count + 1, raw + len(record)
+                    if raw >= ROLL_BYTES:
+                        close()
+                        number += 1
+            if out is not None:
+                close()
+        except BaseException:
+            if out is not None:
+                out.discard()
+            raise
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["path", "records"])
 
     return stored(ready.mapInArrow(run, "path string, records long"))
@@ -182,11 +199,16 @@ def _normalised(path: str) -> tuple[str, int]:
     """Rewrites one archive; the new path and the number of its records."""
     new = path.replace("/raw/", "/members/")
     archive, index, count = _Whole(new), _Whole(f"{new}.idx"), 0
-    for fields, whole in records(inflated(path)):
-        at, member = archive.at, zlib.compressobj(_LEVEL, wbits=31)
-        archive.write(member.compress(whole) + member.flush())
-        index.write(f"{fields['warc-record-id']} {fields['warc-type']} {at} {archive.at - at}\n".encode())
-        count += 1
+    try:
+        for fields, whole in records(inflated(path)):
+            at, member = archive.at, zlib.compressobj(_LEVEL, wbits=31)
+            archive.write(member.compress(whole) + member.flush())
+            index.write(f"{fields['warc-record-id']} {fields['warc-type']} {at} {archive.at - at}\n".encode())
+            count += 1
+    except BaseException:
+        archive.discard()
+        index.discard()
+        raise
     archive.close()
     index.close()
     return new, count
@@ -201,7 +223,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 new, count = _normalised(path)
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([count], pa.int64())], ["path", "records"])
 
-    many = max(1, archives.count())
+    many = max(1, min(archives.count(), _ARCHIVES * shuffle_partitions(archives.sparkSession)))
     return archives.select("path").repartitionByRange(many, "path").mapInArrow(run, "path string, records long")
 
 

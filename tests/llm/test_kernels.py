@@ -260,6 +260,33 @@ def test_voters_tell_shapes_apart():
     assert quality.fit([]).votes(quality.descriptions(*arrays(["x"]))).tolist() == [0.5]
 
 
+def test_votes_equal_plain_neighbours():
+    dice = random.Random(21)
+    text = lambda: " ".join("".join(dice.choice("abcd!#") for _ in range(dice.randint(1, 4))) for _ in range(12))
+    rows = [(text(), dice.randint(0, 1)) for _ in range(60)]
+    rows += [(t, 1 - y) for t, y in rows[:40]]  # equal vectors with other labels
+    voters = quality.fit(rows)
+    asked = [text() for _ in range(30)] + [t for t, _ in rows[:20]]
+    found = quality.descriptions(*arrays(asked))
+    latent = voters.project(found)
+    for k, score in enumerate(voters.votes(found)):
+        near = latent[k : k + 1] @ voters.vectors.T
+        order = sorted(range(len(rows)), key=lambda i: (-near[0, i], i))[: quality.NEIGHBOURS]
+        weight = [max(float(near[0, i]), 0.0) for i in order]
+        assert abs(score - sum(w * rows[i][1] for w, i in zip(weight, order)) / sum(weight)) < 1e-6
+
+
+def test_tied_neighbours_are_the_first_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        vectors = np.eye(4, dtype=np.float32)[rng.integers(0, 4, 40)]
+        labels = rng.integers(0, 2, 40).astype(float)
+        voters = quality.Voters(np.zeros(4, np.float32), np.eye(4, dtype=np.float32), vectors, labels)
+        (score,) = voters.votes(np.array([[1, 0, 0, 0]], np.float32))
+        own = np.flatnonzero(vectors[:, 0])[: quality.NEIGHBOURS]
+        assert abs(score - labels[own].mean()) < 1e-9
+
+
 def test_warc_monolith_is_rewritten_record_by_record(tmp_path):
     payloads = [b"", b"x" * 200_000, "é\r\n\r\nWARC/1.0".encode()]
     whole = b"".join(warc.page_record(i, "http://h/\n", p, None) for i, p in enumerate(payloads))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -82,7 +83,17 @@ def test_large_buckets_are_held_in_blocks(spark, monkeypatch):
     plain = sorted(map(tuple, minhash.near_duplicates(table(spark, rows)).collect()))
     monkeypatch.setattr(minhash, "SMALL", 0)
     monkeypatch.setattr(minhash, "GRID", 20)
+    monkeypatch.setattr(minhash, "SALTED", 7)
     assert sorted(map(tuple, minhash.near_duplicates(table(spark, rows)).collect())) == plain
+    monkeypatch.setattr(minhash, "CELL", 16 * 96 * 5)  # five sets of 96 shingles
+    assert sorted(map(tuple, minhash.near_duplicates(table(spark, rows)).collect())) == plain
+
+
+def test_rows_that_repeat_an_id_keep_the_links_of_all_their_texts(spark):
+    text = lambda k, *edits: " ".join(f"w{k}-{n}" if n not in edits else f"v{n}" for n in range(200))
+    rows = [(5, text(1), "s"), (5, text(2), "s"), (5, text(3), "s"), (7, text(1, 50), "s"), (8, text(2, 60), "s"), (9, text(3, 70), "s"), (3, text(3, 71), "s"), (20, text(4), "s"), (20, text(4), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {5: 3, 7: 3, 8: 3, 9: 3, 3: 3, 20: 20}
 
 
 def brute_passages(rows):
@@ -218,6 +229,16 @@ def test_mixed_is_in_the_order_of_the_queue(spark, alike):
     assert met == sorted(place, key=place.get)
 
 
+def test_repeated_query_ids_and_ties(spark):
+    rows = [(100, [1.0, 0.0], 1), (100, [0.0, 1.0], 1), (3, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (1, [0.0, 1.0], 1), (1, [0.0, 1.0], 1), (5, [1.0, 1.0], 1), (None, [9.0, 9.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = covertree.top_k(frame, frame.where("vec_id = 100"), 4, 8.0).orderBy("rank").collect()
+    # The least vector of id 100, (0, 1), asks; neither row of its id is a candidate.
+    assert [tuple(r) for r in got] == [(100, 1, 1, 64), (100, 2, 1, 64), (100, 3, 2, 64), (100, 4, 3, 64)]
+    links = {r["vec_id"]: r["n_links"] for r in covertree.near_pairs(frame, 0.9).collect()}
+    assert (links[1], links[2], links[100]) == (2 + 2, 2, 2)
+
+
 def test_targets_are_capped_and_reshared(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 90), (None, 100)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
@@ -246,7 +267,21 @@ def test_classifiers_score_every_row(spark):
     assert {r["doc_id"] for r in toxicity.score(frame, labels).where("predicted = 1").collect()} == set(range(0, 120, 3))
     kept = toxicity.filtered(frame, labels)
     assert kept.columns == frame.columns and kept.count() == len(rows) - 40
-    assert quality.score(frame.where("false"), labels).count() == 0
+    assert quality.score(frame.where("false"), labels).count() == 0 and toxicity.score(frame.where("false"), labels).count() == 0
+    spans = toxicity.score(frame, labels).where("doc_id = 3").first()["spans"]
+    assert [rows[3][1].encode()[s["start"] : s["end"]] for s in spans] == [b"idiotic moron"]
+
+
+def test_samples_have_one_text_an_id_and_a_bound_of_bytes(spark, monkeypatch):
+    from lectern.llm import labelled
+
+    rows = [(4, "b" * 10, "s"), (4, "a" * 10, "s"), (4, None, "s"), (8, "c" * 50, "s"), (9, "d" * 5, "s"), (None, "e", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in (4, 4, 8, 9, None, 11)], "doc_id long, toxic int")
+    known = [i for i in (4, 8, 9) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {4: "", 8: "c" * 50, 9: "d" * 5}
+    assert sorted(labelled.sample(table(spark, rows), labels, "toxic", 10)) == sorted((texts[i], 1) for i in known)
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 20)
+    assert sorted(labelled.sample(table(spark, rows), labels, "toxic", 10)) == sorted((texts[i], 1) for i in known if i != 8)
 
 
 def test_url_rules(spark):
@@ -263,14 +298,34 @@ def test_url_rules(spark):
         url_filters.parse("deny x/")
 
 
+def test_many_nested_rules_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "RANGES", 9)
+    dice = random.Random(6)
+    label = lambda: dice.choice("abcde") + dice.choice(("", "", "\x01", "\x02", "é"))
+    host = lambda n: ".".join(label() for _ in range(n))
+    rules = sorted({f"{dice.choice(('allow', 'block'))} {host(dice.randint(1, 3))}/{dice.choice(('', 'x/', 'x/y'))}" for _ in range(400)})
+    rows = [(i, f"http://{host(dice.randint(1, 5))}/{dice.choice(('', 'x/', 'x/yz', 'q'))}") for i in range(700)]
+    rows += [(1000 + i, "http://a.b.c.d/x/") for i in range(500)] + [(2000, "http://net\x01a/"), (2001, "http://a\x01.net/")]
+    rules.append("block a/")
+    parsed = [url_filters.parse(r) for r in rules]
+    for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect():
+        fits = [(len(x.host + x.path), len(x.host), x.host + x.path, x.path, x.verdict) for x in parsed if (r["host"] == x.host or r["host"].endswith("." + x.host)) and r["path"].startswith(x.path)]
+        best = max(fits, default=(0, 0, None, None, "allow"))
+        assert (r["rule"], r["verdict"]) == (best[2], best[4]), r
+
+
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c/\r\nX: y", None), (4, "u", ""), (5, "u", "z" * 100_000), (5, "u", "z" * 100_000), (None, "u", "alone"), (7, "", "WARC/1.0\r\n\r\n")]
+    rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c/\r\nX: y", None), (4, "u", ""), (5, "u", "z" * 100_000), (5, "u", "z" * 100_000), (None, "u", "alone"), (7, "", "WARC/1.0\r\n\r\n"), (None, "u", "<p>é</p>"), (None, "u", "nameless twice"), (None, "v", "nameless twice")]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
-    got = {r["page_id"]: r for r in warc.round_trip(frame).collect()}
-    for i, _, html in rows:
+    every = warc.round_trip(frame).collect()
+    nameless = sorted((r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in every if r["page_id"] is None)
+    # Without an id a record revisits the one with the largest id, and none revisits it.
+    assert nameless == [(5, "response", 0), (9, "revisit", 2), (14, "response", 0), (14, "response", 0)]
+    got = {r["page_id"]: r for r in every}
+    for i, _, html in ((i, u, h) for i, u, h in rows if i is not None):
         body = (html or "").encode()
         assert got[i]["payload_bytes"] == len(body) and got[i]["payload_digest"] == warc.digest_of(body)
     assert (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 2) and got[2]["record_type"] == "response"
-    assert got[3]["refers_to"] == 4 and got[5]["record_type"] == "response" and got[None]["record_type"] == "response"
+    assert got[3]["refers_to"] == 4 and got[5]["record_type"] == "response"
     assert warc.round_trip(frame).count() == len(rows)
     assert warc.round_trip(frame.where("false")).count() == 0
