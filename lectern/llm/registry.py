@@ -1,13 +1,8 @@
-"""All queries of this subpackage, with the pipeline at the repository's top."""
+"""All queries of this subpackage and their SQL. `__spark_entry__.py` adds them, and the pipeline at the repository's top, to the engine's own."""
 
 from __future__ import annotations
 
-import corpus_pipeline
+from .queries import QUERIES
+from .sql import SQL
 
-from . import sql
-from .queries import QUERIES as _OPERATORS
-
-QUERIES = {**_OPERATORS, "pipeline": corpus_pipeline.run}
-SQL = dict(sql.SQL)
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+__all__ = ["QUERIES", "SQL"]
