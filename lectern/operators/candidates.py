@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +22,12 @@ YEAR = rf"{_EDGE}{_YEAR}{_END}"
 DATE = rf"(?i){_EDGE}(?:{_MONTH}\s+\d{{1,2}}(?:,\s*|\s+){_YEAR}|\d{{1,2}}\s+{_MONTH}\s+{_YEAR}){_END}"
 QUANTITY = rf"(?i){_EDGE}\d+(?:\.\d+)?%|{_EDGE}\d+(?:\.\d+)?\s*(?:percent(?:age)?|thousand|million|billion|kilometers?|kilometres?|meters?|metres?|kilograms?|kg|km){_END}"
 _SUBJECT = rf"([A-Z][{X.WORD} -]{{1,50}}?)\s+"
-#: Pattern, and its groups of subject (0: none), relation and answer.
+#: Pattern, its groups of subject (0: none), relation and answer, and the words of which it holds one.
 RELATIONS = (
-    (rf"(?i){_SUBJECT}(converts)\s+.+?\s+into\s+([^.]+)", 1, 2, 3),
-    (rf"(?i){_SUBJECT}(stores|predicts|includes|performs)\s+([^.]+)", 1, 2, 3),
-    (rf"(?i){_SUBJECT}(is|are)\s+used\s+to\s+[{X.WORD}]+\s+([^.]+)", 1, 2, 3),
-    (r"(?i)(?:a|an|the|one)\s+(common task|example|goal|purpose|use|benefit|function)\s+(?:of|is)\s+([^.]+)", 0, 1, 2),
+    (rf"(?i){_SUBJECT}(converts)\s+.+?\s+into\s+([^.]+)", 1, 2, 3, ("converts",)),
+    (rf"(?i){_SUBJECT}(stores|predicts|includes|performs)\s+([^.]+)", 1, 2, 3, ("stores", "predicts", "includes", "performs")),
+    (rf"(?i){_SUBJECT}(is|are)\s+used\s+to\s+[{X.WORD}]+\s+([^.]+)", 1, 2, 3, ("used",)),
+    (r"(?i)(?:a|an|the|one)\s+(common task|example|goal|purpose|use|benefit|function)\s+(?:of|is)\s+([^.]+)", 0, 1, 2, ("common task", "example", "goal", "purpose", "use", "benefit", "function")),
 )
 TOKEN = rf"[{X.WORD}]+|[^{X.WORD}{X.SPACE}]+"
 # Tags of nouns, and of what noun phrases hold.
@@ -35,18 +38,22 @@ _BASE = ["doc_id", "sentence_index", "paragraph_index", "page_number"]
 CANDIDATE = [*_BASE, "text", "normalized_text", "source_sentence", "candidate_type", "subject", "relation", "emit_order"]
 
 
-def usable(text: Column, normal: Column, sentence: Column, most: Column | int) -> Column:
-    tokens = X.candidate_tokens(normal)
-    word = F.filter(tokens, lambda t: t != "%")
-    stop = F.array(*map(F.lit, C.STOPWORDS))
-    length = F.length(normal)
+def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later filters read, made once: a filter is not moved below the row that a generator makes."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def usable(normal: str, tokens: str, words: str, sentence: Column, most: Column | int) -> Column:
+    """Of columns: the normalised text, its tokens, and those of them that are words."""
+    length, stop = F.length(normal), F.array(*map(F.lit, C.STOPWORDS))
+    whole = F.when(F.size(words) > 3, F.col(normal) == X.normalize_candidate(sentence)).otherwise(False)
     return (
         (length >= C.CANDIDATE_MIN_CHARS)
         & (length <= C.CANDIDATE_MAX_CHARS)
-        & (F.size(word) > 0)
+        & (F.size(words) > 0)
         & (F.size(tokens) <= most)
-        & ~F.forall(word, lambda t: F.array_contains(stop, F.lower(t)))
-        & ~((normal == X.normalize_candidate(sentence)) & (F.size(word) > 3))
+        & ~F.forall(words, lambda t: F.array_contains(stop, F.lower(t)))
+        & ~whole
     )
 
 
@@ -56,8 +63,11 @@ _RAW = [*_BASE, "sentence", "raw", "candidate_type", "subject", "relation", "emi
 def _made(rows: DataFrame) -> DataFrame:
     """Usable candidates of raw ones (_RAW), whatever their types: cleaned and judged in one place of a plan."""
     most = F.when(F.col("candidate_type") == "relation phrase", C.RELATION_MAX_TOKENS).otherwise(C.CANDIDATE_MAX_TOKENS)
-    made = rows.withColumn("text", X.strip(X.collapse(F.col("raw")), " ,;:\\-")).withColumn("normalized_text", X.normalize_candidate(F.col("text")))
-    made = made.where(usable(F.col("text"), F.col("normalized_text"), F.col("sentence"), most))
+    made = _fixed(rows, text=X.strip(X.collapse(F.col("raw")), " ,;:\\-"))
+    made = _fixed(made, normalized_text=X.normalize_candidate(F.col("text")))
+    made = _fixed(made, _tokens=X.candidate_tokens(F.col("normalized_text")))
+    made = _fixed(made, _words=F.filter("_tokens", lambda t: t != "%"))
+    made = made.where(usable("normalized_text", "_tokens", "_words", F.col("sentence"), most))
     return made.select(*_BASE, "text", "normalized_text", F.col("sentence").alias("source_sentence"), "candidate_type", "subject", "relation", "emit_order")
 
 
@@ -96,10 +106,12 @@ def raw_patterns(rows: DataFrame) -> DataFrame:
 
 def raw_relations(rows: DataFrame) -> DataFrame:
     out = []
-    for k, (pattern, subject, relation, answer) in enumerate(RELATIONS):
+    for k, (pattern, subject, relation, answer, words) in enumerate(RELATIONS):
+        # Most sentences hold none of the words, and are not searched.
+        worth = reduce(or_, (F.contains(F.lower("text"), F.lit(w)) for w in words))
         every = lambda g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
         groups = [every(relation).alias("relation"), every(answer).alias("raw")] + ([every(subject).alias("own")] if subject else [])
-        found = rows.where(F.col("text").rlike(pattern)).select(*_BASE, F.col("text").alias("sentence"), F.col("subject").alias("near"), F.posexplode(F.arrays_zip(*groups)).alias("i", "m"))
+        found = rows.where(worth).select(*_BASE, F.col("text").alias("sentence"), F.col("subject").alias("near"), F.posexplode(F.arrays_zip(*groups)).alias("i", "m"))
         named = F.coalesce(F.nullif(F.col("m.own"), F.lit("")), F.col("near")) if subject else F.col("near")
         out.append(_raw(found.select(*_BASE, "sentence", F.col("m.raw").alias("raw"), X.strip(named).alias("subject"), F.lower("m.relation").alias("relation"), _order(4 + k, F.col("i"), 0).alias("emit_order")), "relation phrase"))
     return _union(out)

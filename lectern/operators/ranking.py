@@ -26,17 +26,16 @@ def weights(rows: DataFrame) -> DataFrame:
 
     Words have two characters at least; document frequencies are smoothed; rows have unit length.
     """
-    texts = rows.select("doc_id", "source_sentence").distinct()
+    # All counts are a document's own: sentences are dealt by document once, and what follows keeps that.
+    own, feature, sentence = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "feature"), Window.partitionBy("doc_id", "source_sentence")
+    texts = rows.select("doc_id", "source_sentence").repartition("doc_id").distinct().withColumn("n", F.count("*").over(own))
     words = F.regexp_extract_all(F.lower("source_sentence"), F.lit(rf"[{X.WORD}]{{2,}}"), F.lit(0))
     size = F.size("words")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(C.CANDIDATE_MAX_TOKENS)), lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    counted = texts.withColumn("words", words).select("doc_id", "source_sentence", F.explode(grams).alias("feature")).groupBy("doc_id", "source_sentence", "feature").agg(F.count("*").alias("tf"))
-    totals = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
-    spread = counted.groupBy("doc_id", "feature").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    raw = counted.join(spread, ["doc_id", "feature"]).join(totals, "doc_id").withColumn("w", F.col("tf") * idf)
-    norm = Window.partitionBy("doc_id", "source_sentence")
-    return raw.select("doc_id", "source_sentence", "feature", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("weight"))
+    counted = texts.withColumn("words", words).select("doc_id", "n", "source_sentence", F.explode(grams).alias("feature")).groupBy("doc_id", "source_sentence", "feature").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    idf = F.log((1 + F.col("n")) / (1 + F.count("*").over(feature))) + 1
+    raw = counted.withColumn("w", F.col("tf") * idf)
+    return raw.select("doc_id", "source_sentence", "feature", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(sentence))).alias("weight"))
 
 
 def tfidf(rows: DataFrame) -> DataFrame:

@@ -113,7 +113,17 @@ def chain(last: str, sql: str) -> str:
 
     for name in last.split():
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_STEPS[n][1]})" for n in order) + "\n" + sql
+    once = {n: "" if n in _FOLDS else "MATERIALIZED " for n in order}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {once[n]}({_STEPS[n][1]})" for n in order) + "\n" + sql
+
+
+#: Steps that refer to themselves.
+_FOLDS: set[str] = set()
+
+
+def fold(name: str, needs: str, sql: str) -> None:
+    step(name, needs, sql)
+    _FOLDS.add(name)
 
 
 def _sentences(source: str, minimum: int = C.MIN_SENTENCE) -> str:

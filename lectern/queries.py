@@ -45,6 +45,13 @@ def _picked(spark: SparkSession, d: str) -> DataFrame:
     return staged(ranking.diverse(ranking.rank(_extracted(spark, d))))
 
 
+def _worked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sentences, picked candidates and stems of the facts, each made once."""
+    rows = _fact_sentences(spark, d)
+    picked = staged(ranking.diverse(ranking.rank(staged(candidates.extract(rows, derived.lexicon(spark))))))
+    return rows, picked, staged(S.stems(picked, segment.chunks(rows)))
+
+
 # --- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -231,15 +238,11 @@ def true_false_questions(spark, d):
     return builders.true_false(_picked(spark, d)).select("doc_id", "question_id", "prompt", "boolean_answer", "pick")
 
 
-def _stems(spark, d):
-    rows = _fact_sentences(spark, d)
-    return staged(S.stems(_picked(spark, d), segment.chunks(rows)))
-
-
 @query
 def focused_context(spark, d):
     rows = _fact_sentences(spark, d)
-    return S.contexts(_picked(spark, d), segment.chunks(rows), budget=24).select("doc_id", "normalized_text", "context", "error_code")
+    picked = staged(ranking.diverse(ranking.rank(staged(candidates.extract(rows, derived.lexicon(spark))))))
+    return S.contexts(picked, segment.chunks(rows, target=40, overlap=12), budget=24).select("doc_id", "normalized_text", "context", "error_code")
 
 
 @query
@@ -249,7 +252,7 @@ def prompt_highlight(spark, d):
 
 @query
 def stems_template(spark, d):
-    return _stems(spark, d).select("doc_id", "normalized_text", "question", "model_id")
+    return _worked(spark, d)[2].select("doc_id", "normalized_text", "question", "model_id")
 
 
 @query
@@ -261,12 +264,71 @@ def stems_antijoin(spark, d):
 
 @query
 def short_answer_questions(spark, d):
-    return builders.short_answer(_stems(spark, d)).select("doc_id", "question_id", "prompt", "correct_answer")
+    return builders.short_answer(_worked(spark, d)[2]).select("doc_id", "question_id", "prompt", "correct_answer")
+
+
+def _by_text(choices):
+    """Choices in the order of their texts, which SQL can say; their own order is Python's shuffle."""
+    ordered = F.array_sort(F.transform(choices, lambda c: F.struct(c["text"].alias("text"), c["id"].alias("id"), c["is_correct"].alias("is_correct"))))
+    return F.transform(ordered, lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"), c["is_correct"].alias("is_correct")))
 
 
 @query
 def multiple_choice_questions(spark, d):
-    return builders.multiple_choice(_stems(spark, d), _picked(spark, d)).select("doc_id", "question_id", "prompt", "choices")
+    _, picked, stems = _worked(spark, d)
+    shown = F.transform(_by_text(F.col("choices")), lambda c: F.concat_ws("=", c["id"], c["text"], c["is_correct"].cast("string")))
+    return builders.multiple_choice(stems, picked).select("doc_id", "question_id", "prompt", F.array_join(shown, "|").alias("choices"))
+
+
+def _stem_questions(spark, d):
+    """Multiple Choice and Short Answer questions, most of them damaged in one way or another: by way, a number from 0 to 7."""
+    _, picked, stems = _worked(spark, d)
+    columns = [*builders.QUESTION, "pick"]
+    both = builders.multiple_choice(stems, picked).select(*columns).unionByName(builders.short_answer(stems).select(*columns))
+    rows = staged(both.withColumn("choices", _by_text(F.col("choices"))).withColumn("way", (F.col("pick") + F.col("sentence_index")) % 8))
+    way, mc, answer, accepted = F.col("way"), F.col("question_type") == "Multiple Choice", F.col("correct_answer"), F.col("accepted_answer_variants")
+    choice = lambda c, text=None, right=None: F.struct(c["id"].alias("id"), (c["text"] if text is None else text).alias("text"), (c["is_correct"] if right is None else right).alias("is_correct"))
+    first = F.get("choices", F.lit(0))["text"]
+    choices = (
+        F.when(way == 1, F.slice("choices", 1, 3))
+        .when(way == 2, F.transform("choices", lambda c, i: choice(c, F.when(i == 0, " ").otherwise(c["text"]))))
+        .when(way == 3, F.transform("choices", lambda c, i: choice(c, F.when(i == 1, first).otherwise(c["text"]))))
+        .when(way == 4, F.transform("choices", lambda c: choice(c, right=F.lit(True))))
+        .when(way == 5, F.filter("choices", lambda c: ~c["is_correct"]))
+        .when(way == 6, F.transform("choices", lambda c: choice(c, F.when(c["is_correct"], c["text"]).otherwise(F.concat(answer, F.lit(" too"))))))
+        .otherwise(F.col("choices"))
+    )
+    prompt = (
+        F.when(way == 1, F.concat("prompt", F.lit(".")))
+        .when(way == 4, F.concat(F.lit("Is this about "), answer, F.lit("?")))
+        .when(way == 5, F.col("source_sentence"))
+        .when(way == 6, F.when(F.col("pick") % 2 == 0, "Who said that it was so?").otherwise("How many were there, and what task had they?"))
+        .otherwise(F.col("prompt"))
+    )
+    other = F.when(way == 2, F.array().cast("array<string>")).when(way == 3, F.array(F.lit("something else"), answer)).otherwise(accepted)
+    return rows.select("*").withColumns({"choices": F.when(mc, choices), "prompt": F.when(mc, F.col("prompt")).otherwise(prompt), "accepted_answer_variants": F.when(mc, accepted).otherwise(other)})
+
+
+@query
+def validate_stem_questions(spark, d):
+    return quality.validated(_stem_questions(spark, d)).select("doc_id", "question_id", "question_type", F.array_join("errors", "|").alias("errors"), "quality_score")
+
+
+def _graded_stems(spark, d):
+    """Answers to sound and damaged questions: right, wrong, unknown, blank and missing choices; right, shouted, longer, blank, missing and wrong texts."""
+    questions = staged(_stem_questions(spark, d).withColumn("quiz_id", F.concat(F.lit("quiz-"), F.col("doc_id").cast("string"))))
+    turn, answer = (F.col("pick") + 2 * F.col("sentence_index")) % 7, F.col("correct_answer")
+    pick = lambda right: F.get(F.filter("choices", lambda c: c["is_correct"] == F.lit(right)), F.lit(0))["id"]
+    chosen = F.when(turn == 0, pick(True)).when(turn == 1, pick(False)).when(turn == 2, "no such choice").when(turn == 3, " ").when(turn == 5, answer).when(turn == 6, pick(True))
+    said = F.when(turn == 0, answer).when(turn == 1, F.concat(F.upper(answer), F.lit("! "))).when(turn == 2, F.concat(answer, F.lit(" indeed"))).when(turn == 3, " ").when(turn == 5, "something else").when(turn == 6, F.concat(F.lit("so, "), answer, F.lit(" of course")))
+    text = F.when(F.col("question_type") == "Multiple Choice", chosen).otherwise(said)
+    answers = questions.select("quiz_id", "question_id", text.alias("answer_text"), F.lit(None).cast("boolean").alias("answer_bool")).where(F.col("answer_text").isNotNull())
+    return grading.graded(questions, answers)
+
+
+@query
+def score_stem_answers(spark, d):
+    return grading.review(_graded_stems(spark, d)).drop("source_sentence")
 
 
 @query
