@@ -6,8 +6,12 @@ classes are narrower, so both are spelt out.
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 
@@ -56,9 +60,8 @@ def topic_code(query: Column) -> Column:
     return F.when(F.length(collapse(query)) < C.MIN_TOPIC, "INVALID_TOPIC")
 
 
-# Headings that end an article, and HTML's common entities (ampersand last).
+# Headings that end an article.
 TRAILING = "references|notes|bibliography|further reading|external links|see also"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
 
 
 def capped_article(extract: Column, cap: int = C.MAX_TEXT) -> Column:
@@ -75,12 +78,16 @@ def capped_article(extract: Column, cap: int = C.MAX_TEXT) -> Column:
     return F.array_join(F.aggregate(parts, start, add, lambda s: s["kept"]), "\n\n")
 
 
+@F.arrow_udf(T.StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unescape(t) for t in texts.to_pylist()], pa.string())
+
+
 def plain_text(html: Column) -> Column:
-    """Tags go, then entities are read, then white space collapses."""
+    """Tags go, then entities are read, named and numeric ones by HTML's own rules, then white space collapses. Only texts that hold an ampersand leave the JVM."""
     text = F.regexp_replace(html, "<[^>]+>", "")
-    for name, value in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return collapse(text)
+    some = F.contains(text, F.lit("&"))
+    return collapse(F.when(some, _unescaped(F.when(some, text))).otherwise(text))
 
 
 def article_url(title: Column) -> Column:

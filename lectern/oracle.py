@@ -7,11 +7,40 @@ character that is no word character, so that an edge is always a character of it
 from __future__ import annotations
 
 from . import config as C
-from .functions.text import ENTITIES, TRAILING
-from .operators.candidates import NOUNS, PHRASE, PROPER
-from .operators.quality import ERRORS
 from .sources import derived
 
+# Fixed values, stated here once more, so that they are not taken from what they test: HTML's entities in the pages
+# (ampersand last), headings that end an article, tags of nouns and of what noun phrases hold, reasons against questions.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
+TRAILING = "references|notes|bibliography|further reading|external links|see also"
+PROPER, NOUNS, PHRASE = ("NNP", "NNPS"), ("NN", "NNS", "NNP", "NNPS"), ("NN", "NNS", "NNP", "NNPS", "JJ", "JJR", "JJS")
+ERRORS = {
+    "prompt": "Question prompt is empty.",
+    "answer": "Correct answer is empty.",
+    "length": "Question prompt is outside the supported length range.",
+    "provenance": "Question provenance is incomplete.",
+    "artifact": "Question contains a generation artifact.",
+    "identical": "Question prompt is effectively identical to its source sentence.",
+    "grounding": "Correct answer is not grounded in the recorded source sentence.",
+    "leak": "Question prompt directly reveals its expected answer.",
+    "mismatch": "Question wording does not match the semantic type of its answer.",
+    "mc_four": "Multiple Choice requires exactly four choices.",
+    "mc_empty": "Multiple Choice contains an empty choice.",
+    "mc_duplicate": "Multiple Choice contains duplicate choices.",
+    "mc_one": "Multiple Choice requires exactly one correct choice.",
+    "mc_correct": "Multiple Choice must include the correct answer exactly once.",
+    "mc_overlap": "A distractor overlaps the correct answer.",
+    "tf_boolean": "True/False requires a boolean answer.",
+    "tf_true": "True statement is not grounded in the original source statement.",
+    "tf_false": "False statement is not a valid controlled factual replacement.",
+    "fill_blank": "Fill-in-the-Blank requires exactly one blank.",
+    "fill_absent": "Fill-in-the-Blank answer is absent from the original source.",
+    "fill_context": "Fill-in-the-Blank removes too much source context.",
+    "short_stem": "Short Answer requires a complete question stem.",
+    "short_variants": "Short Answer requires accepted answer variants.",
+    "short_variant": "Short Answer contains an unsupported accepted-answer variant.",
+}
+
 _W, _S = r"\p{L}\p{N}_", r"\s\x{85}\p{Z}"
 
 

@@ -49,6 +49,51 @@ def fold(events: DataFrame) -> DataFrame:
     return listed.select("session_id", F.aggregate("e", start, step).alias("s")).select("session_id", "s.*")
 
 
+ANSWERS = "map<string,struct<text:string,flag:boolean>>"
+#: What the events of a whole session carry.
+PAYLOAD = f"struct<source_type:string,text:string,configuration:map<string,string>,seed:bigint,quiz_id:string,question_ids:array<string>,answers:{ANSWERS}>"
+
+
+def fold_sessions(events: DataFrame) -> DataFrame:
+    """The whole state of each session, of (session_id, seq, event, payload: PAYLOAD).
+
+    begin keeps the source's identity, the configuration and the seed; complete the quiz and its questions' ids; record
+    and submit the answers to these questions, others are dropped; reset clears all. An event that isn't allowed changes
+    nothing but the count of the rejected.
+    """
+    from ..functions.text import source_identity
+
+    listed = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event", F.to_json("payload").alias("p")))).alias("e"))
+    kinds = {"stage": "string", "source_identity": "string", "configuration": "map<string,string>", "seed": "bigint", "quiz_id": "string", "question_ids": "array<string>", "answers": ANSWERS}
+    clean = F.struct(F.lit("CREATE").alias("stage"), *(F.lit(None).cast(k).alias(n) for n, k in kinds.items() if n != "stage"), F.lit(0).alias("steps"), F.lit(0).alias("rejected"))
+
+    def step(s: Column, e: Column) -> Column:
+        p, kind, to = F.from_json(e["p"], PAYLOAD), e["event"], _next(s["stage"], e["event"])
+        own = F.map_filter(F.coalesce(p["answers"], F.create_map().cast(ANSWERS)), lambda k, _: F.coalesce(F.array_contains(s["question_ids"], k), F.lit(False)))
+        set_by = {
+            "source_identity": ("begin", source_identity(p["source_type"], p["text"])), "configuration": ("begin", p["configuration"]), "seed": ("begin", p["seed"]),
+            "quiz_id": ("complete", p["quiz_id"]), "question_ids": ("complete", p["question_ids"]),
+        }
+        fields = [F.coalesce(to, s["stage"]).alias("stage")]
+        for name in kinds:
+            if name != "stage":
+                new = F.when(kind.isin("record", "submit"), own).otherwise(s[name]) if name == "answers" else F.when(kind == set_by[name][0], set_by[name][1]).otherwise(s[name])
+                fields.append(F.when(to.isNull(), s[name]).when(kind == "reset", F.lit(None).cast(kinds[name])).otherwise(new).alias(name))
+        return F.struct(*fields, (s["steps"] + to.isNotNull().cast("int")).alias("steps"), (s["rejected"] + to.isNull().cast("int")).alias("rejected"))
+
+    return listed.select("session_id", F.aggregate("e", clean, step).alias("s")).select("session_id", "s.*")
+
+
+def results(sessions: DataFrame, questions: DataFrame) -> DataFrame:
+    """session_id and the score of each session that was submitted: its answers against its quiz's questions (with quiz_id)."""
+    from ..operators import grading
+
+    done = sessions.where("stage = 'REVIEW'")
+    asked = done.select("session_id", "quiz_id").join(questions, "quiz_id").withColumn("quiz_id", F.col("session_id").cast("string"))
+    answers = done.select(F.col("session_id").cast("string").alias("quiz_id"), F.explode("answers").alias("question_id", "a")).select("quiz_id", "question_id", F.col("a.text").alias("answer_text"), F.col("a.flag").alias("answer_bool"))
+    return grading.quiz_scores(grading.graded(asked, answers)).withColumnRenamed("quiz_id", "session_id")
+
+
 def fold_topics(events: DataFrame) -> DataFrame:
     """session_id, query, page_ids, selected, document and rejected of (session_id, seq, event, payload).
 

@@ -1,5 +1,7 @@
 """The quiz engine's behaviour on small literal inputs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ def test_article_is_cut_at_paragraphs_and_closing_sections(spark):
 
 def test_scalars(spark):
     assert one(spark, X.plain_text, "<b>a</b> &amp; &lt;i&gt;  b") == "a & <i> b"
+    assert one(spark, X.plain_text, "caf&eacute; &#233;&#xE9; &notit; &amp;lt; <i>x</i>&nbsp;y") == "café éé ¬it; &lt; x y"
+    assert one(spark, X.plain_text, "plain") == "plain" and one(spark, X.plain_text, None) is None
     assert one(spark, X.article_url, "a b/c~*é") == C.ARTICLE_BASE + "a_b/c~%2A%C3%A9"
     assert one(spark, X.normalize_candidate, " The  75% Rule! ") == "the 75% rule"
     assert one(spark, X.normalize_question, "Straße, 5%?") == "strasse 5"
@@ -187,3 +191,88 @@ def test_quiz_is_whole_deterministic_and_separate_per_document(spark):
     assert first[0] == again[0] and len(first) == 2
     partial = quiz.quizzes(docs, count=12, types=["Multiple Choice"], generator=None)[0].first()
     assert partial["actual_question_count"] == 0 and len(partial["warnings"]) == 2
+
+
+def test_article_payloads(spark):
+    text = "A paragraph of an article that is long enough to be of use to a reader."
+    page = lambda **more: {"pageid": 7, "title": "Deep Sea", "extract": text} | more
+    cases = {
+        "list": ({"query": {"pages": [page()]}}, None),
+        "object": ({"query": {"pages": {"7": page(pageprops={"wikibase": "Q1"})}}}, None),
+        "two": ({"query": {"pages": [page(), page()]}}, "API"),
+        "none": ({"query": {"pages": []}}, "API"),
+        "text": ({"query": {"pages": "x"}}, "API"),
+        "scalar": ({"query": {"pages": ["x"]}}, "API"),
+        "error": ({"error": {"code": 1}}, "API"),
+        "missing": ({"query": {"pages": [{"pageid": 7, "missing": True}]}}, "NO_RESULTS"),
+        "empty missing": ({"query": {"pages": [{"pageid": 7, "missing": ""}]}}, "NO_RESULTS"),
+        "untitled": ({"query": {"pages": [{"extract": text}]}}, "API"),
+        "number": ({"query": {"pages": [page(title=5)]}}, "API"),
+        "props": ({"query": {"pages": [page(pageprops=[1])]}}, "API"),
+        "disambiguation": ({"query": {"pages": [page(pageprops={"disambiguation": ""})]}}, "DISAMBIGUATION"),
+        "by title": ({"query": {"pages": [page(title="Sea (disambiguation)")]}}, "DISAMBIGUATION"),
+        "short": ({"query": {"pages": [page(extract="Short.")]}}, "NO_TOPIC_TEXT"),
+        "broken": (None, "API"),
+    }
+    rows = spark.createDataFrame([(k, f"  {name} ", "{" if p is None else json.dumps(p)) for k, (name, (p, _)) in enumerate(cases.items())], "page_id long, requested_topic string, payload string")
+    found = corpus.articles(corpus.parsed_articles(rows))
+    got = {r["doc_id"]: r["error_code"] for r in found.collect()}
+    assert [got[k] for k in range(len(cases))] == [code for _, code in cases.values()]
+    docs = {r["doc_id"]: r for r in corpus.usable(found).collect()}
+    assert set(docs) == {0, 1} and docs[0]["text"] == text
+    assert docs[0]["source_metadata"] == {"source_type": "topic", "requested_topic": "list", "source_provider": "Wikipedia", "article_title": "Deep Sea", "article_url": C.ARTICLE_BASE + "Deep_Sea"}
+
+
+def test_pdf_files_reach_a_quiz(spark):
+    page = "Copper is a metal that people use for wires. The term alloy refers to a mix of metals that stay together."
+    files = spark.createDataFrame([("file:/a/one.pdf", bytearray(b"%PDF-1 x"))], "path string, content binary")
+    docs = corpus.usable(corpus.pdf_documents(files, lambda content: [page, "", page.replace("Copper", "Tin")]))
+    row = docs.first()
+    assert row["doc_id"] == "file:/a/one.pdf" and row["source_metadata"] == {"source_type": "pdf", "page_count": "3", "filename": "one.pdf"}
+    made, questions = quiz.quizzes(docs, count=2, types=("Fill-in-the-Blank", "True/False"))
+    assert made.first()["actual_question_count"] == 2 and {r["page_number"] for r in questions.collect()} <= {1, 3}
+
+
+def test_own_metadata_holds(spark):
+    rows = spark.createDataFrame([(1, "text", "x", None, {"source_type": "mine", "k": "v"})], "doc_id long, source_type string, text string, error_code string, source_metadata map<string,string>")
+    assert corpus.usable(rows).first()["source_metadata"] == {"source_type": "mine", "k": "v"}
+
+
+def test_requests_are_made_where_their_rows_are(spark):
+    answers = {"1": ({"query": 1}, None), "2": (None, "NETWORK")}
+    rows = spark.createDataFrame([("1", {"id": "1"}), ("2", {"id": "2"})], "query string, parameters map<string,string>")
+    got = {r["query"]: (r["payload"], r["fetch_error"]) for r in corpus.fetched(rows, "http://x", lambda url, p: answers[p["id"]]).collect()}
+    assert got == {"1": ('{"query": 1}', None), "2": (None, "NETWORK")}
+
+
+def test_the_last_of_repeated_stems_wins(spark):
+    rows = spark.createDataFrame([(1, "a", "first", 1), (1, "a", "last", 2), (1, "b", "own", 1)], "doc_id long, normalized_text string, question string, n int")
+    assert {r["question"] for r in S.last_of(rows, "n").collect()} == {"last", "own"}
+
+
+def test_sessions_keep_source_quiz_and_answers(spark):
+    empty = {"source_type": None, "text": None, "configuration": None, "seed": None, "quiz_id": None, "question_ids": None, "answers": None}
+    said = lambda **a: empty | {"answers": {k: ({"text": v, "flag": None} if isinstance(v, str) else {"text": None, "flag": v}) for k, v in a.items()}}
+    begin = empty | {"source_type": "text", "text": "whole", "configuration": {"count": "2"}, "seed": 5}
+    complete = empty | {"quiz_id": "quiz", "question_ids": ["q1", "q2"]}
+    events = [
+        (1, 1, "record", said(q1="early")), (1, 2, "begin", begin), (1, 3, "begin", begin), (1, 4, "complete", complete), (1, 5, "record", said(q1="wrong", other="x")), (1, 6, "submit", said(q1="Copper!", q2=True, other="x")), (1, 7, "record", said(q1="late")),
+        (2, 1, "begin", begin), (2, 2, "complete", complete), (2, 3, "record", said(q2=False)), (2, 4, "reset", empty),
+        (3, 1, "begin", begin), (3, 2, "complete", complete), (3, 3, "submit", said(q2=False)),
+    ]
+    frame = spark.createDataFrame(events, f"session_id long, seq long, event string, payload {workflow.PAYLOAD}")
+    sessions = workflow.fold_sessions(frame)
+    got = {r["session_id"]: r for r in sessions.collect()}
+    import hashlib
+
+    one_ = got[1]
+    assert (one_["stage"], one_["steps"], one_["rejected"], one_["seed"], one_["configuration"], one_["quiz_id"]) == ("REVIEW", 4, 3, 5, {"count": "2"}, "quiz")
+    assert one_["source_identity"] == hashlib.sha256(b"text\0whole").hexdigest()
+    assert {k: tuple(v) for k, v in one_["answers"].items()} == {"q1": ("Copper!", None), "q2": (None, True)}
+    assert (got[2]["stage"], got[2]["quiz_id"], got[2]["answers"], got[2]["seed"]) == ("CREATE", None, None, None)
+    questions = spark.createDataFrame(
+        [("quiz", "q1", "Fill-in-the-Blank", "copper", ["copper"], None, None), ("quiz", "q2", "True/False", "True", ["True"], True, None)],
+        "quiz_id string, question_id string, question_type string, correct_answer string, accepted_answer_variants array<string>, boolean_answer boolean, choices array<struct<id:string,text:string,is_correct:boolean>>",
+    )
+    scores = {r["session_id"]: (r["total"], r["correct"], r["incorrect"], r["unanswered"]) for r in workflow.results(sessions, questions).collect()}
+    assert scores == {"1": (2, 2, 0, 0), "3": (2, 0, 1, 1)}
