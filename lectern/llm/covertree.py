@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import lean, stored
 
 BLOCK = 4096
 #: Queries of a block of them.
@@ -331,7 +331,7 @@ def blocks(rows: DataFrame, pivots: list[np.ndarray], *, prepare: Callable[[np.n
                     cell[own] = np.array(names)[np.argmax(x @ np.array(p).T, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(lengths.astype(np.int32)), batch.column(0), batch.column(1)], ["cell", "dims", "vec_id", "embedding"])
 
-    dealt = stored(rows.mapInArrow(deal, "cell long, dims int, vec_id long, embedding array<double>"))
+    dealt = stored(rows.mapInArrow(lean(deal), "cell long, dims int, vec_id long, embedding array<double>"))
     sizes = dealt.groupBy("cell", "dims").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
     split = dealt.join(sizes, ["cell", "dims"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.col("embedding")), F.col("parts")))
 
@@ -432,7 +432,7 @@ def block_pairs(one: DataFrame, two: DataFrame | None, bound: Bound) -> DataFram
                     i, j = i[once], j[once]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.tiles[i], b.tiles[j], a.blocks[i], b.blocks[j])], ["ti", "tj", "i", "j"])
 
-    return met.select("dims", "p", "q", *(f"{c}_i" for c in _PAGE), *(f"{c}_j" for c in _PAGE)).mapInArrow(run, "ti long, tj long, i long, j long")
+    return met.select("dims", "p", "q", *(f"{c}_i" for c in _PAGE), *(f"{c}_j" for c in _PAGE)).mapInArrow(lean(run), "ti long, tj long, i long, j long")
 
 
 def tiled(pairs: DataFrame, one: DataFrame, two: DataFrame, kernel: Callable[[dict, dict, list[tuple[int, int]]], list[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -531,7 +531,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(worst, pa.binary()), pa.array(floor, pa.float64()), pa.array(found, pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))], [*body, "met", "worst", "floor", "found"])
 
     kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in body)
-    begun = stored(first.mapInArrow(start, f"{kinds}, met long, worst binary, floor double, found array<struct<query_id:bigint,vec_id:bigint,score:bigint>>"))
+    begun = stored(first.mapInArrow(lean(start), f"{kinds}, met long, worst binary, floor double, found array<struct<query_id:bigint,vec_id:bigint,score:bigint>>"))
     pairs = stored(block_pairs(pages(begun, ASKING_TILE, "floor"), pages(data, TILE), reaching))
     none = F.lit(None)
     one = begun.select("block", "dims", "ids", "vectors", "tree", "centre", "radius", "met", "worst")

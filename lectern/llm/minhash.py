@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .covertree import stars
-from .shared import list_array, mix, shuffle_partitions, signed, slices, stored, utf8, word_hashes, words
+from .shared import lean, list_array, mix, shuffle_partitions, signed, slices, small_batches, stored, utf8, word_hashes, words
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -161,8 +161,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = stored(texts.mapInArrow(_signer(bands_for(percent)), f"doc_id long, {_SIGNED}"))
+    rows = stored(texts.mapInArrow(lean(_signer(bands_for(percent))), f"doc_id long, {_SIGNED}"))
     taking_part = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stored(taking_part.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     # A class is known by its smallest id and, as rows may repeat an id, its digest.
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     members = stored(shared.join(pivots, "key").select("key", "rep", "d1", "length", F.col("pivot.rep").alias("pivot"), F.col("pivot.d1").alias("pd1")))
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("pd1").alias("da"), F.col("rep").alias("b"), F.col("d1").alias("db")).distinct()
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(stored(needed), "doc_id", "left_semi").mapInArrow(_sets, "id long, d1 long, set array<long>")
+    sets = texts.join(stored(needed), "doc_id", "left_semi").mapInArrow(lean(_sets), "id long, d1 long, set array<long>")
     sets = stored(sets.groupBy("id", "d1").agg(F.any_value("set").alias("set")))
     tested = stored(_tested(star, sets, percent))
     found = components(tested.where("linked").select("a", "b"))
@@ -231,7 +232,7 @@ def _gridded(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield _cell(pending, percent)
 
     many = shuffle_partitions(split.sparkSession)
-    return cells.repartition(many, "key", "x", "y").sortWithinPartitions("key", "x", "y", "asks").mapInArrow(run, "a long, b long")
+    return cells.repartition(many, "key", "x", "y").sortWithinPartitions("key", "x", "y", "asks").mapInArrow(lean(run), "a long, b long")
 
 
 def _cell(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:

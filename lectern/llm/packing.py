@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import lean, small_batches, stored
 
 LENGTH = 4096
 CLOSING = 1
@@ -123,6 +123,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
     """doc_id, row, piece, start, length and ids_crc32, and the ids themselves if asked for, of each piece. row tells pieces of rows that repeat an id apart."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     end = np.asarray([closing], "<u4").tobytes()
     step = 4 * length
@@ -133,6 +134,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: in
             yield from encoded(own, batches)
         finally:  # workers outlive their tasks
             own.table.clear()
+            del own
+            _ENCODERS.clear()
 
     def encoded(own: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: in
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = f"doc_id {kind.simpleString()}, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(lean(run), schema)
 
 
 # --- one block -------------------------------------------------------------------------------------------------------
@@ -333,4 +336,9 @@ def _round(rows: DataFrame, length: int, level: int) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32, sequence_id and offset (and ids) of each piece of all documents."""
-    return pack(stored(pieces(docs, tokenizer, length=length, closing=closing, with_ids=with_ids)), length=length)
+    made = stored(pieces(docs, tokenizer, length=length, closing=closing, with_ids=with_ids))
+    if not with_ids:
+        return pack(made, length=length)
+    # The search moves numbers only; ids come back by row and piece.
+    placed = pack(made.drop("ids"), length=length)
+    return placed.join(made.select("row", "piece", "ids"), ["row", "piece"]).select(*made.columns, "sequence_id", "offset")

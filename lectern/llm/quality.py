@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, sample
-from .shared import mix, slices, utf8, word_hashes, words
+from .shared import lean, mix, slices, small_batches, utf8, word_hashes, words
 
 #: Labelled rows whose vectors vote, at most.
 SAMPLE = 4096
@@ -126,6 +126,7 @@ def fit(rows: list[tuple[str, int]]) -> Voters:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, "quality", SAMPLE)).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,5 +138,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(votes)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())]))
+    rows = docs.select("doc_id", "text").mapInArrow(lean(run), T.StructType([T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())]))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

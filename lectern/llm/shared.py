@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,39 @@ def clear(spark: SparkSession) -> int:
     return many
 
 
+#: Bytes of a batch of rows, about, that goes to a Python worker. The buffers of such batches lie outside the JVM's heap, where nothing else bounds them.
+BATCH_BYTES = 2 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches to Python workers by bytes, where it has no bound of its own."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(kernel: Kernel) -> Kernel:
+    """The kernel, after whose task the worker, which outlives it, gives the memory back that it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """Names like those given that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CHUNK_BYTES, Rolling, mix, shuffle_partitions, signed, slices, spare, stored, utf8
+from .shared import CHUNK_BYTES, Rolling, lean, mix, shuffle_partitions, signed, slices, small_batches, spare, stored, utf8
 from .suffix_array import suffix_array
 
 LENGTH = 100
@@ -48,6 +48,8 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a text that are read at once.
 SEGMENT = 4 << 20
+#: Bytes of documents whose alike runs go on as one.
+BATCH = 12 << 20
 #: Bits of an anchor's place in its segment, and so of its hash.
 _PLACE = 24
 #: Bytes in a symbol of the suffix arrays' sequences.
@@ -161,18 +163,33 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, tag: np.ndarray, start: np.
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of documents (doc_id, tag, text); of alike runs in a batch the first. The others are spans to remove: lead -1, h any, width how far the last string starts behind."""
+    held, size = [], 0
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        tags = batch.column(1).to_numpy(zero_copy_only=False)
-        data, offsets = utf8(batch.column(2))
-        found = []
-        for piece, at, rows, base in _segments(data, offsets):
-            part, begin, width, lead, h, c = anchored_runs(piece, at)
-            if len(part):
-                found.append((rows[part], begin - at[part] + base[part], width, lead, h, c))
-        if not found:
-            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH:
+            yield from _batch_runs(_one(held))
+            held, size = [], 0
+    if held:
+        yield from _batch_runs(_one(held))
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def _batch_runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    tags = batch.column(1).to_numpy(zero_copy_only=False)
+    data, offsets = utf8(batch.column(2))
+    found = []
+    for piece, at, rows, base in _segments(data, offsets):
+        part, begin, width, lead, h, c = anchored_runs(piece, at)
+        if len(part):
+            found.append((rows[part].astype(np.int32), begin - at[part] + base[part], width.astype(np.int16), lead.astype(np.int16), h, c))
+    if found:
         row, start, width, lead, h, c = (np.concatenate(x) for x in zip(*found))
+        del found
         doc, tag = ids[row], tags[row]
         order, again, head = _firsts([c], doc, tag, start)
         begin, size = offsets[row] + start, width + LENGTH
@@ -453,15 +470,16 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _questions(known: DataFrame, many: int) -> DataFrame:
     """The table that _resolved gives."""
-    runs = known.mapInArrow(_runs, _RUN)
+    runs = known.mapInArrow(lean(_runs), _RUN)
     # What is already known to go needs no anchor: it is dealt by its document.
     dealt = F.when(F.col("lead") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
     sorted_runs = runs.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h", "c", "doc_id", "tag", "start")
-    return sorted_runs.mapInArrow(_resolved, _RUN)
+    return sorted_runs.mapInArrow(lean(_resolved), _RUN)
 
 
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) with tag, dealt by id; and per document that loses bytes its list of (start, stop)."""
+    small_batches(docs.sparkSession)
     many = shuffle_partitions(docs.sparkSession)
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
     resolved = stored(_questions(tagged.where("doc_id is not null").select("doc_id", "tag", "text"), many), large=True)
@@ -472,9 +490,9 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = questions.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "start", "width", "lead", "level")).alias("asked"))
     asked = asked.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "asked")
     # The same join of texts as the one with the spans, so that both read one exchange.
-    fetched = _joined(tagged, asked).select("doc_id", "tag", "text", "asked").mapInArrow(_fetched, "h long, doc_id long, tag long, start long, width short, lead short, run binary")
+    fetched = _joined(tagged, asked).select("doc_id", "tag", "text", "asked").mapInArrow(lean(_fetched), "h long, doc_id long, tag long, start long, width short, lead short, run binary")
     dealt = F.when(F.col("lead") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
-    answered = fetched.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h").mapInArrow(_answered, "doc_id long, tag long, start long, stop long")
+    answered = fetched.withColumn("deal", dealt).repartition(many, "deal").drop("deal").sortWithinPartitions("h").mapInArrow(lean(_answered), "doc_id long, tag long, start long, stop long")
     spans = gone.unionByName(answered).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return tagged, spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
 
@@ -523,7 +541,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(3)), pa.array([hashlib.sha256(x[3]).hexdigest() for x in rows], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _joined(*_spans(docs.select("doc_id", "text")))
-    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "spans").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "spans").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def reduced(docs: DataFrame) -> DataFrame:
@@ -542,5 +560,5 @@ def reduced(docs: DataFrame) -> DataFrame:
             columns[at] = pa.compute.if_else(columns[at].is_null(), columns[at], changed) if columns[at].null_count else changed
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = rows.mapInArrow(run, T.StructType(docs.schema.fields))
+    out = rows.mapInArrow(lean(run), T.StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, sample
-from .shared import _LOWER_BYTE, Rolling, list_array, mix, slices, utf8
+from .shared import _LOWER_BYTE, Rolling, give_back, lean, list_array, mix, slices, small_batches, utf8
 
 #: Labelled rows that the field is fitted on: of label 0 and of label 1 at most.
 SAMPLE = {0: 2000, 1: 1000}
@@ -255,6 +255,7 @@ def tagged(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score and spans (list of (start, end) in bytes) of each row of docs."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field.hashes, field.weights, field.bias, field.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.ListArray.from_arrays(pa.array(at), pairs)], ["doc_id", "score", "spans"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,15 +281,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that are not predicted toxic. Only texts go through Python; rows stay where they are."""
+    small_batches(docs.sparkSession)
     field = fit(sample(docs, labels, "toxic", SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast((field.hashes, field.weights, field.bias, field.transitions))
 
     @F.arrow_udf(T.DoubleType())
     def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Field(*shared.value)
-        for column in texts:
-            data, offsets = utf8(column)
-            found = [tagged(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in slices(offsets)]
-            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+        try:
+            for column in texts:
+                data, offsets = utf8(column)
+                found = [tagged(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in slices(offsets)]
+                yield pa.array(np.concatenate(found) if found else np.zeros(0))
+        finally:
+            give_back()
 
     return docs.where(score_of(F.col("text")) < THRESHOLD)

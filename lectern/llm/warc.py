@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, shuffle_partitions, stored
+from .shared import lean, shared_folder, shuffle_partitions, stored
 
 ROLL_BYTES = 64 << 20
 _READ = 1 << 20
@@ -192,7 +192,7 @@ def write(pages: DataFrame, folder: str, *, min_revisit: int = 0) -> DataFrame:
             raise
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["path", "records"])
 
-    return stored(ready.mapInArrow(run, "path string, records long"))
+    return stored(ready.mapInArrow(lean(run), "path string, records long"))
 
 
 def _normalised(path: str) -> tuple[str, int]:
@@ -224,7 +224,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([count], pa.int64())], ["path", "records"])
 
     many = max(1, min(archives.count(), _ARCHIVES * shuffle_partitions(archives.sparkSession)))
-    return archives.select("path").repartitionByRange(many, "path").mapInArrow(run, "path string, records long")
+    return archives.select("path").repartitionByRange(many, "path").mapInArrow(lean(run), "path string, records long")
 
 
 def index_of(uri: str) -> Iterator[tuple[str, str, int, int]]:
@@ -279,7 +279,7 @@ def read(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return archives.select("path").mapInArrow(run, _READ_SCHEMA)
+    return archives.select("path").mapInArrow(lean(run), _READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, *, min_revisit: int = 0, folder: str | None = None) -> DataFrame:
