@@ -290,3 +290,27 @@ def test_extraction_reads_sentences_once_and_sends_no_tokens(spark):
         ("Engine March", "proper noun", 8, 6, 0), ("red ring", "noun phrase", 8, 3, 1), ("Engine March", "noun phrase", 8, 6, 1), ("common task", "noun phrase", 8, 10, 1),
         ("ring", "general concept", 8, 2, 2), ("Engine", "general concept", 8, 4, 2), ("March", "general concept", 8, 5, 2), ("task", "general concept", 8, 9, 2),
     }
+
+
+def test_greedy_choice_counts_each_prompt_once(spark, monkeypatch):
+    counted = []
+    grams = quality.character_grams
+    monkeypatch.setattr(quality, "character_grams", lambda text: counted.append(text) or grams(text))
+    rows = [quality_row(f"The {w} of {v} is held in {w}.", w, v) for w in ("ring", "rings", "part", "engine") for v in ("Paris", "London", "the sea")]
+    accepted, kept = quality.Accepted(0.5), []
+    for row in rows:
+        if not accepted.repeats(row):
+            accepted.add(row)
+            kept.append(row)
+    assert len(counted) <= len({r.prompt for r in rows})
+    plain: list = []
+    for row in rows:
+        if not quality.duplicate(row, plain, 0.5):
+            plain.append(row)
+    assert kept == plain and 1 < len(kept) < len(rows)
+
+
+def quality_row(prompt, answer, sentence):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(prompt=prompt, correct_answer=answer, source_sentence=sentence)
