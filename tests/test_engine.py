@@ -314,3 +314,12 @@ def quality_row(prompt, answer, sentence):
     from types import SimpleNamespace
 
     return SimpleNamespace(prompt=prompt, correct_answer=answer, source_sentence=sentence)
+
+
+def test_rules_are_made_before_they_are_filtered(spark):
+    kinds = {c: "string" for c in ("question_type", "prompt", "correct_answer", "source_sentence", "source")} | {"sentence_index": "int", "page_number": "int", "boolean_answer": "boolean", "candidate_importance": "double"}
+    kinds |= {"accepted_answer_variants": "array<string>", "choices": builders.CHOICES}
+    rows = spark.createDataFrame([("Short Answer", "Who said  that it was so?", "a ring", "It is a ring of red.", None, 0, None, None, 0.5, ["a ring"], None)], ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    judged = quality.validated(rows)
+    assert "filter(_errors" in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.first()["errors"] == [quality.ERRORS["mismatch"]] and not {"_errors", "_prompt", "_folded"} & {*judged.columns}
