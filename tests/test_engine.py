@@ -357,3 +357,36 @@ def test_scores_and_ranks_take_two_exchanges(spark):
     assert [(r["text"], r["frequency"], r["pick"]) for r in out.collect()] == [("Red", 2, 1)]
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_near_pairs_compare_questions_in_blocks(spark, monkeypatch):
+    """Against all pairs reckoned one by one; documents straddle batches, and blocks are small. No row is made for two questions' shared n-grams."""
+    import pyarrow as pa
+
+    from lectern.operators import whole
+
+    prompts = {d: [f"The {'red blue green'.split()[(i + d) % 3]} ring {i} of {d} holds {i % 2} units" for i in range(7)] + ["", "a"] for d in (1, 2, 3)}
+    frame = spark.createDataFrame([(d, f"q{i}", p) for d, own in prompts.items() for i, p in enumerate(own)], "doc_id long, question_id string, prompt string")
+    want = {(d, f"q{i}", f"q{j}") for d, own in prompts.items() for i in range(9) for j in range(i + 1, 9) if _cosine(own, i, j) >= 0.5}
+    made = quality.near_pairs(frame, 0.5)
+    assert {(r["doc_id"], r["a"], r["b"]) for r in made.collect()} == want and want
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    table = pa.table({"doc_id": [d for d in prompts for _ in range(9)], "words": [p.lower().split() for own in prompts.values() for p in own]})
+    usual = list(zip(*(x.tolist() for x in whole.near(table, 0.3)[:2])))
+    monkeypatch.setattr(whole, "ROWS", 2)
+    monkeypatch.setattr(whole, "COLUMNS", 5)
+    assert sorted(zip(*(x.tolist() for x in whole.near(table, 0.3)[:2]))) == sorted(usual)
+    for step in (1, 4, 9, 27):
+        parts = [t for t in whole.documents(table.to_batches(max_chunksize=step))]
+        assert pa.concat_tables(parts).equals(table.combine_chunks()) and all(len(set(t["doc_id"].to_pylist()) & set(u["doc_id"].to_pylist())) == 0 for i, t in enumerate(parts) for u in parts[:i])
+
+
+def _cosine(prompts, i, j):
+    import math
+    from collections import Counter
+
+    counts = [quality.character_grams(p) for p in prompts]
+    spread = Counter(g for c in counts for g in c)
+    w = [{g: tf * (math.log((1 + len(prompts)) / (1 + spread[g])) + 1) for g, tf in c.items()} for c in counts]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return sum(x * w[j].get(g, 0) for g, x in w[i].items()) / (norm(w[i]) * norm(w[j]))
