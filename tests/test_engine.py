@@ -390,3 +390,13 @@ def _cosine(prompts, i, j):
     w = [{g: tf * (math.log((1 + len(prompts)) / (1 + spread[g])) + 1) for g, tf in c.items()} for c in counts]
     norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
     return sum(x * w[j].get(g, 0) for g, x in w[i].items()) / (norm(w[i]) * norm(w[j]))
+
+
+def test_pairs_of_candidates_are_judged_by_what_is_made_once(spark):
+    rows = [(1, t.lower(), t, f"{t} is here.", "proper noun", 0.5, k, 0, None, k) for k, t in enumerate(("Alpha", "Beta", "Gamma"))]
+    own = spark.createDataFrame(rows, "doc_id long, normalized_text string, text string, source_sentence string, candidate_type string, importance_score double, sentence_index int, paragraph_index int, page_number int, pick int")
+    made = builders.distractors(own, difficulty="Hard")
+    assert {(r["normalized_text"], r["distractor"], r["place"]) for r in made.collect()} == {("alpha", "Gamma", 1), ("alpha", "Beta", 2), ("beta", "Alpha", 1), ("beta", "Gamma", 2), ("gamma", "Alpha", 1), ("gamma", "Beta", 2)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "split(" not in above and "lower(" not in above
