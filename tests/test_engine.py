@@ -400,3 +400,21 @@ def test_pairs_of_candidates_are_judged_by_what_is_made_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "split(" not in above and "lower(" not in above
+
+
+def test_stems_need_one_python_step_and_chunks_only_where_documents_are_long(spark):
+    docs = texts(spark, "Alpha rings are here now. Beta rings are there now.", " ".join(f"Sentence number {i} has exactly seven words." for i in range(60)))
+    rows = segment.sentences(docs)
+    plain = {(r["doc_id"], r["chunk_index"]): (r["text"], r["estimated_token_count"]) for r in segment.chunks(rows, size=lambda t: len(t.split())).collect()}
+    made = segment.chunks(rows)
+    assert {(r["doc_id"], r["chunk_index"]): (r["text"], r["estimated_token_count"]) for r in made.collect()} == plain and len(plain) == 3
+    held = spark.createDataFrame([(0, 0, "Alpha", "Alpha rings are here now.", 1), (1, 30, "30", "Sentence number 30 has exactly seven words.", 1)], "doc_id long, sentence_index int, text string, source_sentence string, pick int")
+    for budget in (416, 30, 3):
+        own = {r["doc_id"]: (r["context"], r["error_code"]) for r in S.contexts(held, made, budget=budget).collect()}
+        assert own == {r["doc_id"]: (r["context"], r["error_code"]) for r in S.contexts(held, made, budget=budget, size=lambda t: len(t.split())).collect()}
+    plan = S.stems(held, made)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "InPandas" not in plan
+    for sentence, answer in (("Red, red; redder RED_ red", "red"), ("a.a.a", "a"), ("aaa aa", "aa"), ("Straße STRASSE", "straße"), ("x", "y"), ("5% of 5%", "5%")):
+        import re
+
+        assert S.without(sentence, answer) == re.sub(rf"(?<!\w){re.escape(answer)}(?!\w)", " ", sentence, flags=re.I)
