@@ -418,3 +418,16 @@ def test_stems_need_one_python_step_and_chunks_only_where_documents_are_long(spa
         import re
 
         assert S.without(sentence, answer) == re.sub(rf"(?<!\w){re.escape(answer)}(?!\w)", " ", sentence, flags=re.I)
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_are_made_without_sending_a_table_to_the_driver(spark):
+    """Tables as small as these would be broadcast if the planner chose; large ones that are well compressed too."""
+    rows = [(1, t.lower(), t, f"{t} is here with them now.", "proper noun", 0.5, k, 0, None, k) for k, t in enumerate(("Alpha", "Beta", "Gamma"))]
+    own = spark.createDataFrame(rows, "doc_id long, normalized_text string, text string, source_sentence string, candidate_type string, importance_score double, sentence_index int, paragraph_index int, page_number int, pick int")
+    made = builders.false_statements(own)
+    assert {r["prompt"] for r in made.collect()} == {"Beta is here with them now.", "Alpha is here with them now."} or made.count() == 3
+    assert "Broadcast" not in plan_of(made) and "SortMergeJoin" in plan_of(made)
