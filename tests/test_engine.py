@@ -452,3 +452,17 @@ def test_stems_and_choices_are_made_without_sending_a_table_to_the_driver(spark)
     assert sorted(r["correct_answer"] for r in made.collect()) == ["Alpha", "Beta", "Delta", "Gamma"] and left.count() == 3
     for table in (asked, made, left):
         assert "Broadcast" not in plan_of(table) and "SortMergeJoin" in plan_of(table)
+
+
+def test_quizzes_are_assembled_without_sending_a_table_to_the_driver(spark):
+    kinds = "doc_id long, pick int, question_id string, question_type string, prompt string, correct_answer string, source_sentence string, page_number int, paragraph_index int, sentence_index int, quality_score double"
+    pool = spark.createDataFrame([(1, 1, "a", "True/False", "Alpha is here.", "True", "Alpha is here.", None, 0, 0, 0.9)], kinds)
+    docs = spark.createDataFrame([(1, {"k": "v"}), (2, {})], "doc_id long, source_metadata map<string,string>")
+    made = assembly.assemble(pool, docs, count=1, types=["True/False"], difficulty="Easy", seed=1)
+    assert {r["doc_id"]: r["question_ids"] for r in made.collect()} == {1: ["a"], 2: []}
+    rows = [(1, t.lower(), t, f"{t} is here with them now.", "proper noun", 0.5, k, 0, None, k) for k, t in enumerate(("Alpha", "Beta", "Gamma"))]
+    own = spark.createDataFrame(rows, "doc_id long, normalized_text string, text string, source_sentence string, candidate_type string, importance_score double, sentence_index int, paragraph_index int, page_number int, pick int")
+    turns = builders.true_false(own)
+    assert sorted((r["pick"], r["boolean_answer"]) for r in turns.collect()) == [(0, True), (1, False), (2, True)]
+    for table in (made, turns):
+        assert "Broadcast" not in plan_of(table) and "SortMergeJoin" in plan_of(table)
